@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from poolwright.llm import hosts, mixing, quality, secrets
+from poolwright.llm import decontaminate, hosts, langid, licenses, mixing, quality, secrets
 from poolwright.llm.stage import table
 
 
@@ -23,4 +23,24 @@ def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hosts.filter_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op3_secret_scans, op4_mix_sources, op5_url_filters)}
+def op7_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.identify(langid.document_records(docs), langid.fit(docs))
+
+
+def op9_language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(langid.page_records(table(spark, sf_dir, "pages")), langid.fit(table(spark, sf_dir, "documents")))
+
+
+QUERIES = {f.__name__: f for f in (
+    op2_quality_rules, op3_secret_scans, op4_mix_sources, op5_url_filters,
+    op7_license_scans, op8_decontaminate, op9_language_id, op9_language_id_pages,
+)}
