@@ -2,10 +2,14 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from poolwright.llm import decontaminate, hosts, langid, licenses, mixing, quality, secrets
+from poolwright.llm import decontaminate, hosts, langid, licenses, mixing, neardup, quality, secrets
 from poolwright.llm.stage import table
 
 
+def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), stratum=F.col("lang"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -41,6 +45,6 @@ def op9_language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_quality_rules, op3_secret_scans, op4_mix_sources, op5_url_filters,
+    op1_near_duplicates, op2_quality_rules, op3_secret_scans, op4_mix_sources, op5_url_filters,
     op7_license_scans, op8_decontaminate, op9_language_id, op9_language_id_pages,
 )}
