@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from poolwright.llm import decontaminate, hosts, langid, licenses, mixing, neardup, quality, secrets
+from poolwright.llm import automaton, decontaminate, hosts, langid, licenses, mixing, neardup, quality, secrets
 from poolwright.llm.stage import table
 
 
@@ -27,6 +27,11 @@ def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hosts.filter_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1
+    return automaton.score_texts(table(spark, sf_dir, "documents"), held_out=held_out)
+
+
 def op7_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
@@ -46,5 +51,5 @@ def op9_language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_near_duplicates, op2_quality_rules, op3_secret_scans, op4_mix_sources, op5_url_filters,
-    op7_license_scans, op8_decontaminate, op9_language_id, op9_language_id_pages,
+    op6_lm_scoring, op7_license_scans, op8_decontaminate, op9_language_id, op9_language_id_pages,
 )}
