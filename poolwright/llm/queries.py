@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from poolwright.llm import automaton, decontaminate, hosts, langid, licenses, mixing, neardup, quality, secrets
+from poolwright.llm import automaton, decontaminate, hosts, langid, licenses, mixing, neardup, quality, secrets, suffixes
 from poolwright.llm.stage import table
 
 
@@ -49,7 +49,11 @@ def op9_language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(langid.page_records(table(spark, sf_dir, "pages")), langid.fit(table(spark, sf_dir, "documents")))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_near_duplicates, op2_quality_rules, op3_secret_scans, op4_mix_sources, op5_url_filters,
-    op6_lm_scoring, op7_license_scans, op8_decontaminate, op9_language_id, op9_language_id_pages,
+    op6_lm_scoring, op7_license_scans, op8_decontaminate, op9_language_id, op9_language_id_pages, op10_suffix_dedup,
 )}
