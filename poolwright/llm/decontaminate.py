@@ -124,6 +124,8 @@ def _leaks(w: textnp.Words, seeds: Seeds, block: list[tuple[int, np.ndarray]], l
     text = np.searchsorted(w.bounds, word, "right") - 1
     order = np.lexsort((word, item, text))
     word, item, offset, text = word[order], item[order], offset[order], text[order]
+    if not len(word):
+        return
     long = np.array([len(h) for _, h in block])
     fresh = np.ones(len(word), bool)
     fresh[1:] = (text[1:] != text[:-1]) | (item[1:] != item[:-1]) | (word[1:] - word[:-1] > 2 * long[item[1:]])
