@@ -46,7 +46,7 @@ def shares(cells: DataFrame, dim: str, target: Mapping[str, float] | float) -> D
     return seen.select(dim, (F.col("wish") / total).alias("target"))
 
 
-def rake(cells: DataFrame, targets: Mapping[str, Mapping[str, float] | float], *, tolerance: float = 1e-9, sweeps: int = 40) -> DataFrame:
+def rake(cells: DataFrame, targets: Mapping[str, Mapping[str, float] | float], *, tolerance: float = 1e-11, sweeps: int = 40) -> DataFrame:
     """``cells`` (dimensions, tokens > 0) with ``weight``, of sum 1, whose sums
     per value are the targets to within ``tolerance`` or as near as the cells
     that exist allow after ``sweeps``.  No cells: no rows.
@@ -89,5 +89,5 @@ def calibrate(docs: DataFrame, *, targets: Mapping[str, Mapping[str, float] | fl
     bound = raked.agg(F.sum("tokens").alias("all"), F.min(F.col("tokens") / F.col("weight")).alias("most")).first()
     budget = min(keep * float(bound["all"]), float(bound["most"])) if bound["all"] else 0.0
     chance = raked.select(*dims_, F.least(F.lit(1.0), F.col("weight") * budget / F.col("tokens")).alias("probability"))
-    out = rows.join(chance, dims_, "left").withColumn("probability", F.when(F.col("n_tokens") > 0, F.round("probability", 9)).otherwise(0.0))
+    out = rows.join(chance, dims_, "left").withColumn("probability", F.when(F.col("n_tokens") > 0, F.round("probability", 6)).otherwise(0.0))
     return out.withColumn("sampled", draw(F.col("doc_id"), seed) < F.col("probability"))
