@@ -23,10 +23,10 @@ NOT_SYMBOLS = r"[^#*$%&|<>]+"
 # Rules: signal (per mille, or tenths of a character) and its cutoffs.
 GRID = [5, 10, 15, 20, 30, 40, 50, 75, 100, 125, 150, 200, 250, 300, 400, 500, 600, 750]
 RULES = {
-    "symbols": F.expr("n_symbols * 1000 div greatest(word_chars, 1)"),
-    "dup_lines": F.expr("n_dup_lines * 1000 div greatest(n_lines, 1)"),
-    "repeats": F.expr("n_repeat_words * 1000 div greatest(n_words, 1)"),
-    "word_length": F.expr("word_chars * 10 div greatest(n_words, 1)"),
+    "symbols": "n_symbols * 1000 div greatest(word_chars, 1)",
+    "dup_lines": "n_dup_lines * 1000 div greatest(n_lines, 1)",
+    "repeats": "n_repeat_words * 1000 div greatest(n_words, 1)",
+    "word_length": "word_chars * 10 div greatest(n_words, 1)",
 }
 
 
@@ -94,7 +94,7 @@ def certified_cutoffs(good: DataFrame, *, false_rejection: float, delta: float)
     certified rule is left out; an empty ``good`` gives no rows.
     """
     alpha = false_rejection / len(RULES)
-    values = F.explode(F.array(*(F.struct(F.lit(k).alias("rule"), v.alias("value")) for k, v in RULES.items())))
+    values = F.explode(F.array(*(F.struct(F.lit(k).alias("rule"), F.expr(v).alias("value")) for k, v in RULES.items())))
     long = good.select("stratum", values.alias("x")).select("stratum", "x.*")
     tally = long.select("stratum", "rule", "value", F.explode(F.array(*map(F.lit, GRID))).alias("cutoff")).groupBy("stratum", "rule", "cutoff").agg(
         F.count("*").alias("n"), F.count_if(F.col("value") > F.col("cutoff")).alias("k"))
@@ -114,6 +114,6 @@ def judge(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     feats = materialize(signals(docs, id_col=id_col, text_col=text_col, stratum=stratum).withColumn("base_failed", base_failed()))
     good = labels.groupBy("doc_id").agg(F.min(F.coalesce("quality", F.lit(0))).alias("q")).where("q = 1").select("doc_id")
     cutoffs = certified_cutoffs(feats.where(~F.col("base_failed")).join(good, "doc_id", "left_semi"), false_rejection=false_rejection, delta=delta)
-    hits = F.filter(F.array(*(F.when(v > F.try_element_at("cutoffs", F.lit(k)), F.lit(k)) for k, v in RULES.items())), lambda x: x.isNotNull())
+    hits = F.filter(F.array(*(F.when(F.expr(v) > F.try_element_at("cutoffs", F.lit(k)), F.lit(k)) for k, v in RULES.items())), lambda x: x.isNotNull())
     out = feats.join(cutoffs, "stratum", "left").withColumn("rejected_by", F.when(F.col("cutoffs").isNull(), F.array().cast("array<string>")).otherwise(hits))
     return out.withColumn("kept", ~F.col("base_failed") & (F.size("rejected_by") == 0)).drop("cutoffs")
