@@ -3,7 +3,10 @@
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+#: Up to so many ids are broadcast; more are joined by shuffle.
+BROADCAST_IDS = 200_000
 
 
 def stage_root(spark: SparkSession) -> str:
@@ -26,9 +29,23 @@ def stage_root(spark: SparkSession) -> str:
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet and read it back: it is computed once, its
     lineage is cut, and the loss of an executor does not lose it."""
-    path = f"{stage_root(df.sparkSession)}/{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{stage_root(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def few(ids: DataFrame) -> DataFrame:
+    """``ids``, written, to be broadcast if they are at most BROADCAST_IDS."""
+    ids = materialize(ids)
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
+def without(rows: DataFrame, id_col: str, gone: DataFrame) -> DataFrame:
+    """``rows``, columns as before, without those whose id is in the one
+    column of ``gone``; rows with a null id stay."""
+    gone = gone.select(F.col(gone.columns[0]).alias(id_col)).distinct()
+    return rows.join(few(gone), id_col, "left_anti").select(*(f"`{c}`" for c in rows.columns))
 
 
 def purge(spark: SparkSession) -> None:

@@ -21,15 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from poolwright.llm import textnp
-from poolwright.llm.stage import materialize
+from poolwright.llm.stage import few, materialize
 
 LENGTH, SEED = 100, 50
 #: Surroundings of one hash that go to a block, and bytes that a block holds.
-BLOCK_ROWS, BLOCK_BYTES = 2000, 1 << 20
+BLOCK_ROWS, BLOCK_BYTES = 2000, 1 << 18
 #: Text bytes whose seeds go to one task of the second step.
 PART_BYTES = 16 << 20
-#: Up to so many ids are broadcast; more are joined by shuffle.
-BROADCAST_IDS = 1_000_000
 
 
 def _slide(x: np.ndarray, width: int, least: np.ufunc) -> np.ndarray:
@@ -77,15 +75,25 @@ def seeds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     return text, hashed[named], around, start - offsets[text], end - offsets[text]
 
 
+def joined(pieces: list[bytes]) -> np.ndarray:
+    """The pieces as one text of numbers: bytes from 2 on, 1 between pieces,
+    and a single 0 at the end, which makes all suffixes differ."""
+    text = np.frombuffer(b"\0".join(pieces) + b"\0", np.uint8).astype(np.uint16) + np.uint16(2)
+    text[np.cumsum([len(p) + 1 for p in pieces]) - 1] = 1
+    text[-1] = 0
+    return text
+
+
 def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes of ``text`` in the order of at least their first ``depth`` bytes."""
+    """Suffixes of ``text`` in the order of at least their first ``depth``
+    numbers, by doubling from keys of seven."""
     n = len(text)
     key = np.zeros(n, np.uint64)
-    for i in range(8):
-        key[: n - i] |= text[i:].astype(np.uint64) << np.uint64(56 - 8 * i)
-    size = 8
+    for i in range(min(7, n)):
+        key[: n - i] |= text[i:].astype(np.uint64) << np.uint64(54 - 9 * i)
+    size = 7
     while True:
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         if size >= depth:
             return order
         sorted_ = key[order]
@@ -97,36 +105,48 @@ def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
 
 
 def parted(text: np.ndarray, order: np.ndarray, depth: int) -> np.ndarray:
-    """Of each suffix in order, if fewer than ``depth`` bytes agree with the
+    """Of each suffix in order, if fewer than ``depth`` numbers agree with the
     one before: intervals of the transform, breadth-first by length."""
     n = len(text)
     bwt = text[order - 1]
     rows = np.argsort(bwt, kind="stable")  # of the rows, those that each extension leads to
-    extend = np.empty(n, np.int64)
-    extend[rows] = np.arange(n)
-    letter = np.concatenate([bwt[rows].astype(np.int16), [-1]])
-    owner = np.full(n + 2, -1, np.int64)  # of row r at r + 1: the interval that reaches it
+    extend = np.empty(n, np.int32)
+    extend[rows] = np.arange(n, dtype=np.int32)
+    letter = np.concatenate([bwt[rows].astype(np.int32), [-1]])
+    owner = np.full(n + 2, -1, np.int32)  # of row r at r + 1: the interval that reaches it
     cut = np.zeros(n + 1, bool)
     cut[[0, n]] = True
-    low, high = np.array([0]), np.array([n])
+    seen = np.zeros(n, bool)
+    low, high = np.array([0], np.int32), np.array([n], np.int32)
     for _ in range(depth):
         size = high - low
         total = int(size.sum())
         if not total:
             break
-        mine = np.repeat(np.arange(len(low)), size)
-        to = extend[np.arange(total) + np.repeat(low - (np.cumsum(size) - size), size)]
+        mine = np.repeat(np.arange(len(low), dtype=np.int32), size)
+        to = extend[np.arange(total, dtype=np.int32) + np.repeat(low - (np.cumsum(size, dtype=np.int32) - size), size)]
         owner[to + 1] = mine
-        first = (owner[to] != mine) | (letter[to - 1] != letter[to])
-        last = (owner[to + 2] != mine) | (letter[to + 1] != letter[to])
-        low, high = np.sort(to[first]), np.sort(to[last]) + 1
+        own = letter[to]
+        first = to[(owner[to] != mine) | (letter[to - 1] != own)]
+        last = to[(owner[to + 2] != mine) | (letter[to + 1] != own)]
         owner[to + 1] = -1
+        low, high = _in_order(first, seen), _in_order(last, seen) + np.int32(1)
         new = ~cut[high]
         cut[high] = True
         low, high = low[new], high[new]
     return cut[:n]
 
 
+def _in_order(rows: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    """Distinct rows sorted, by marks in ``seen`` where that is cheaper."""
+    if len(rows) * 8 < len(seen):
+        return np.sort(rows)
+    seen[rows] = True
+    out = np.flatnonzero(seen).astype(np.int32)
+    seen[rows] = False
+    return out
+
+
 def _id_codes(ids: pa.Array | pa.ChunkedArray) -> np.ndarray:
     """Numbers in the order of the ids, null last."""
     values = ids.to_pylist()
@@ -138,7 +158,7 @@ def repeats(pieces: list[bytes], ids: np.ndarray, starts: np.ndarray) -> tuple[n
     """(piece, offset, is repeated) of every string of LENGTH bytes that begins
     in one of ``pieces``, which lie at ``starts`` of texts ``ids``.  Of
     equal strings the least (id, place) is not repeated, wherever it occurs."""
-    text = np.frombuffer(b"\0".join(pieces) + b"\0", np.uint8)
+    text = joined(pieces)
     size = np.array([len(p) for p in pieces])
     begin = np.cumsum(size + 1) - size - 1
     order = suffix_order(text, LENGTH)
@@ -158,20 +178,29 @@ def repeats(pieces: list[bytes], ids: np.ndarray, starts: np.ndarray) -> tuple[n
 
 
 def _first_texts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The rows (id, text) of the first of all equal texts, and (id, sha) of
-    the later ones, none of them under LENGTH bytes."""
+    """The rows (id, text) of the first of all equal texts, and (_lid, sha) of
+    the later ones, none of them under LENGTH bytes.  Later ones without an id
+    stay among the first: their strings are found to be repeated like others."""
     stamped = docs.where(F.octet_length("text") >= LENGTH).select("id", F.sha2("text", 256).alias("sha"))
     groups = stamped.groupBy("sha").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    later = materialize(stamped.join(groups.select("sha", "first"), "sha").where(~F.col("id").eqNullSafe(F.col("first"))).select("id", "sha").distinct())
-    texts = docs.where(F.octet_length("text") >= LENGTH)
-    if later.count() <= BROADCAST_IDS:
-        return texts.join(F.broadcast(later), (texts["id"].eqNullSafe(later["id"])) & (F.sha2(texts["text"], 256) == later["sha"]), "left_anti"), later
-    return texts.join(later, (texts["id"].eqNullSafe(later["id"])) & (F.sha2(texts["text"], 256) == later["sha"]), "left_anti"), later
+    later = few(stamped.join(groups.select("sha", "first"), "sha").where(~F.col("id").eqNullSafe(F.col("first"))).select(F.col("id").alias("_lid"), "sha").distinct())
+    return _with_sha(docs.where(F.octet_length("text") >= LENGTH)).join(later, ["_lid", "sha"], "left_anti").select("id", "text"), later
+
+
+def _with_sha(docs: DataFrame) -> DataFrame:
+    return docs.withColumns({"_lid": F.col("id"), "sha": F.sha2("text", 256)})
 
 
 ROWS = "known boolean, hash long, around long, id {id}, start int, stop int"
 
 
+def _shared(x: np.ndarray) -> np.ndarray:
+    """Places of values that occur more than once."""
+    order = np.argsort(x)
+    same = x[order[1:]] == x[order[:-1]]
+    return order[np.concatenate([same, [False]]) | np.concatenate([[False], same])] if len(x) > 1 else order[:0]
+
+
 def _seed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Surroundings to compare; those met before in the batch are known to be
     repeated and go along under a hash of their own."""
@@ -183,9 +212,10 @@ def _seed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not found:
             continue
         text, hashed, around, start, end = (np.concatenate(x) for x in zip(*found, strict=True))
-        by = np.lexsort((start, _id_codes(batch.column(0))[text], around))
-        text, hashed, around, start, end = (x[by] for x in (text, hashed, around, start, end))
-        known = np.concatenate([[False], around[1:] == around[:-1]]) if len(by) else np.zeros(0, bool)
+        known, ids = np.zeros(len(around), bool), _id_codes(batch.column(0))
+        by = _shared(around)
+        by = by[np.lexsort((start[by], ids[text[by]], around[by]))]
+        known[by[1:]] = around[by[1:]] == around[by[:-1]]
         hashed = np.where(known, textnp.mix(hashed + text.astype(np.uint64) * np.uint64(textnp.BASE)), hashed)
         yield pa.RecordBatch.from_arrays([pa.array(known), pa.array(hashed.view(np.int64)), pa.array(around.view(np.int64)), batch.column(0).take(pa.array(text)), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32))], ["known", "hash", "around", "id", "start", "stop"])
 
@@ -196,7 +226,13 @@ def _sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held = [b for b in batches if b.num_rows]
     if not held:
         return
-    rows = pa.Table.from_batches(held).combine_chunks()
+    rows = pa.Table.from_batches(held)
+    known, hashed = rows.column("known").to_numpy(), rows.column("hash").to_numpy()
+    pick = np.zeros(len(hashed), bool)
+    pick[_shared(hashed)] = True
+    rows = rows.take(pa.array(np.flatnonzero(pick | known))).combine_chunks()
+    if not rows.num_rows:
+        return
     known, hashed, around, start = (rows.column(c).to_numpy() for c in ("known", "hash", "around", "start"))
     by = np.lexsort((start, _id_codes(rows.column("id")), around, hashed, known))
     known, hashed, around = known[by], hashed[by], around[by]
@@ -267,7 +303,8 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(id, start, stop) in bytes of strings, or runs of them, that also start
-    earlier, overlapping and in no order; and (id, sha) of whole texts that do.
+    earlier, overlapping and in no order; and (_lid, sha), the id and digest of
+    whole texts that do.
     An earlier place is one of a smaller id, or further left in the same text."""
     kind = docs.schema[id_col].dataType.simpleString()
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -293,9 +330,7 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 def semi_by_id(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     """Rows whose id is in ``wanted``; few enough ids are broadcast, so the
     texts of other rows are not shuffled."""
-    ids = materialize(wanted.select(F.col("id").alias("_id")).distinct())
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
+    ids = few(wanted.select(F.col("id").alias("_id")).distinct())
     return rows.join(ids, rows["id"].eqNullSafe(F.col("_id")), "left_semi")
 
 
@@ -328,15 +363,12 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     spans, later = repeated_spans(docs, id_col=id_col, text_col=text_col)
     spans = materialize(spans)
     all_ = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    whole = F.broadcast(later) if later.count() <= BROADCAST_IDS else later
-    marked = all_.join(whole.withColumnRenamed("id", "_lid"), all_["id"].eqNullSafe(F.col("_lid")) & (F.sha2(all_["text"], 256) == F.col("sha")), "left")
-    size = F.octet_length("text").cast("long")
-    empty = F.lit(b"").cast("binary")
-    marked = marked.select("id", "text", size.alias("n_bytes"), F.col("sha").isNotNull().alias("later"))
+    size, empty = F.octet_length("text").cast("long"), F.lit(b"").cast("binary")
+    marked = _with_sha(all_).join(later.withColumn("_late", F.lit(True)), ["_lid", "sha"], "left")
+    marked = marked.select("id", "text", size.alias("n_bytes"), F.col("_late").isNotNull().alias("later"))
     gone = marked.where("later").select("id", "n_bytes", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), empty.alias("kept"))
     rest = marked.where("not later")
-    ids = materialize(spans.select(F.col("id").alias("_id")).distinct())
-    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    ids = few(spans.select(F.col("id").alias("_id")).distinct())
     plain = rest.join(ids, rest["id"].eqNullSafe(F.col("_id")), "left_anti").select("id", "n_bytes", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.col("text").cast("binary").alias("kept"))
     listed = spans.groupBy(F.col("id").alias("_id")).agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
     hit = rest.join(ids, rest["id"].eqNullSafe(F.col("_id")), "left_semi").join(listed, F.col("id").eqNullSafe(F.col("_id"))).select("id", "text", "n_bytes", "spans")
