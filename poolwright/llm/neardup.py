@@ -9,13 +9,14 @@ expected to meet in one child of each node that it shares.  Nodes of at most
 Pairs whose sketches may reach the threshold are confirmed on the full sets.
 
 Links are looked for twice: first only a spanning forest of each node's likely
-pairs, then, between the components so found, all remaining pairs.  A node
-that does not get smaller (a crowd of close copies) is cut into blocks that
-share a centre, and after ``DEPTH`` levels into a grid of blocks that covers
-its pairs; only pairs across components are then looked at.
+pairs, then, between the components so found, all likely pairs, tested within
+the node, which gives a spanning forest of the links it finds.  A node that
+does not get smaller (a crowd of close copies) is cut into blocks that share a
+centre, and after ``DEPTH`` levels into a grid of blocks that covers its pairs;
+only pairs across components are then looked at.
 """
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -24,15 +25,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from poolwright.llm import textnp
 from poolwright.llm.graph import components, join_by_key
-from poolwright.llm.stage import materialize
+from poolwright.llm.stage import few, materialize, without
 
 SHINGLE = 5
-TREES, NODE, DEPTH = 10, 512, 10
+TREES, NODE, DEPTH = 10, 2048, 10
 SKETCH = 256
 #: Sketches may miss a pair at the threshold by chance of 4 standard errors.
 ERRORS = 4.0
-#: Up to so many ids are broadcast; more are joined by shuffle.
-BROADCAST_IDS = 200_000
 
 _random = np.random.RandomState(20240504)
 TREE_SEEDS = _random.randint(0, 1 << 64, (2, 2 * TREES), dtype=np.uint64) | np.uint64(1)
@@ -105,15 +104,15 @@ def branch(classes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame | Non
         if level == DEPTH:
             mine = F.pmod(F.xxhash64("cid"), blocks)
             grid = large.select("cid", "key", mine.alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("j"))
-            return reduce(DataFrame.union, small), grid.select(F.xxhash64("key", F.lit("grid"), F.least("i", "j"), F.greatest("i", "j")).alias("key"), "cid").distinct()
+            return materialize(reduce(DataFrame.union, small)), grid.select(F.xxhash64("key", F.lit("grid"), F.least("i", "j"), F.greatest("i", "j")).alias("key"), "cid").distinct()
         block = lambda i: F.xxhash64("key", F.lit("block"), i).alias("key")
-        centre = large.groupBy("key").agg(F.min("cid").alias("cid"), F.first("size").alias("size"))
+        centre = materialize(large.groupBy("key").agg(F.min("cid").alias("cid"), F.first("size").alias("size")))
         small.append(large.select(block(F.pmod(F.xxhash64("cid"), blocks)), "cid").union(
             centre.select("key", "cid", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("i")).select(block(F.col("i")), "cid")).distinct())
         members = materialize(_sized(large.join(sketches, "cid").select(_children(percent).alias("key"), "cid")))
         small.append(members.where(F.col("size") <= NODE).select("key", "cid"))
         large, level = members.where(F.col("size") > NODE), level + 1
-    return reduce(DataFrame.union, small), None
+    return materialize(reduce(DataFrame.union, small)), None
 
 
 def _by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -134,45 +133,102 @@ def _by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(rest)
 
 
-def likely_pairs(nodes: DataFrame, classes: DataFrame, percent: int, labels: DataFrame | None = None) -> DataFrame:
-    """key, a < b: pairs of a node whose sketches may reach the threshold.
-    Without labels a spanning forest of them, the most alike first; with
-    labels (cid, label) all those whose labels differ."""
+def _alike(sketch: np.ndarray, key: np.ndarray, label: np.ndarray, percent: int) -> np.ndarray:
+    """Rows i, j and equal parts of the sketches for all pairs of rows of one
+    key and different labels that may reach the threshold."""
     t = percent / 100
     share = t - ERRORS * (t * (1 - t) / SKETCH) ** 0.5
     least = int(np.floor(SKETCH * (share + (1 - share) / 256)))
-    forest = labels is None
-    rows = nodes.join(classes.select("cid", "sketch"), "cid")
-    rows = rows.withColumn("label", F.col("cid")) if forest else rows.join(labels, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
+    found = [np.zeros((3, 0), np.int64)]
+    for step in range(1, len(key)):
+        at = np.flatnonzero(key[step:] == key[:-step])
+        if not len(at):
+            break
+        at = at[label[at] != label[at + step]]
+        for i in range(0, len(at), 4096):
+            x = at[i : i + 4096]
+            alike = np.count_nonzero(sketch[x] == sketch[x + step], axis=1)
+            hit = alike >= least
+            if hit.any():
+                found.append(np.stack([x[hit], x[hit] + step, alike[hit]]))
+    return np.concatenate(found, 1)
+
+
+def _columns(piece: pa.Table) -> tuple[np.ndarray, ...]:
+    """key, cid, label and sketches of some nodes."""
+    sketch = np.frombuffer(b"".join(piece.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH)
+    return (*(piece.column(c).to_numpy() for c in ("key", "cid", "label")), sketch)
+
+
+def _nodes(rows: DataFrame) -> DataFrame:
+    return rows.repartition("key").sortWithinPartitions("key")
+
+
+def likely_forest(nodes: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """key, a < b: of each node's pairs that may be links a spanning forest,
+    the most alike first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in _by_key(batches):
-            key, cid, label = (piece.column(c).to_numpy() for c in ("key", "cid", "label"))
-            sketch = np.frombuffer(b"".join(piece.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH)
-            found: list[np.ndarray] = []
-            for step in range(1, len(key)):
-                at = np.flatnonzero(key[step:] == key[:-step])
-                if not len(at):
-                    break
-                at = at[label[at] != label[at + step]]
-                for i in range(0, len(at), 4096):
-                    x = at[i : i + 4096]
-                    alike = np.count_nonzero(sketch[x] == sketch[x + step], axis=1)
-                    hit = alike >= least
-                    if hit.any():
-                        found.append(np.stack([x[hit], x[hit] + step, alike[hit]]))
-            pairs = np.concatenate(found, 1) if found else np.zeros((3, 0), np.int64)
-            if forest and pairs.shape[1]:
-                pairs = pairs[:, _forest(pairs, len(key))]
+            key, cid, label, sketch = _columns(piece)
+            pairs = _alike(sketch, key, label, percent)
+            pairs = pairs[:, _forest(pairs, np.arange(len(key)))]
             a, b = cid[pairs[0]], cid[pairs[1]]
             yield pa.RecordBatch.from_arrays([pa.array(key[pairs[0]]), pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["key", "a", "b"])
 
-    return rows.select("key", "cid", "label", "sketch").repartition("key").sortWithinPartitions("key").mapInArrow(run, "key long, a long, b long")
+    rows = nodes.join(classes.select("cid", "sketch"), "cid").withColumn("label", F.col("cid"))
+    return _nodes(rows.select("key", "cid", "label", "sketch")).mapInArrow(run, "key long, a long, b long")
+
+
+def _labelled(nodes: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame:
+    rows = nodes.join(classes.select("cid", "sketch"), "cid").join(labels, "cid", "left")
+    return rows.select("key", "cid", F.coalesce("label", "cid").alias("label"), "sketch")
+
+
+def crossing(nodes: DataFrame, classes: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """The members (key, cid) of nodes that may have links to members of other
+    labels."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in _by_key(batches):
+            key, cid, label, sketch = _columns(piece)
+            rows = np.unique(_alike(sketch, key, label, percent)[:2])
+            yield pa.RecordBatch.from_arrays([pa.array(key[rows]), pa.array(cid[rows])], ["key", "cid"])
+
+    return _nodes(_labelled(nodes, classes, labels)).mapInArrow(run, "key long, cid long")
+
+
+def crossing_links(members: DataFrame, classes: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between members of different labels, confirmed on the full
+    sets: of each node a spanning forest over the labels."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in _by_key(batches):
+            key, cid, label, sketch = _columns(piece)
+            pairs = _alike(sketch, key, label, percent)
+            group = np.unique(np.stack([key, label]), axis=1, return_inverse=True)[1].ravel()
+            sets = [np.frombuffer(x.as_py(), "<u8") for x in piece.column("set")]
+            links = pairs[:2, _forest(pairs, group, lambda i, j: is_link(sets[i], sets[j], percent))]
+            yield pa.RecordBatch.from_arrays([pa.array(cid[links[0]]), pa.array(cid[links[1]])], ["a", "b"])
+
+    rows = _labelled(members, classes, labels).join(sets, "cid").select("key", "cid", "label", "sketch", "set")
+    return _nodes(rows).mapInArrow(run, "a long, b long")
+
+
+def is_link(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """100 * intersection >= percent * union of two sorted sets."""
+    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+        return False
+    both = np.concatenate([x, y])
+    both.sort()
+    common = int(np.count_nonzero(both[1:] == both[:-1]))
+    return 100 * common >= percent * (len(both) - common)
 
 
-def _forest(pairs: np.ndarray, n: int) -> list[int]:
-    """Pairs of a spanning forest, those with the highest third row first."""
-    parent = list(range(n))
+def _forest(pairs: np.ndarray, group: np.ndarray, test: Callable[[int, int], bool] = lambda i, j: True) -> list[int]:
+    """Pairs of a spanning forest over the groups of rows, those with the
+    highest third row first, that pass ``test``; joined groups aren't tested."""
+    parent = list(range(len(group)))
 
     def root(x: int) -> int:
         while parent[x] != x:
@@ -180,10 +236,10 @@ def _forest(pairs: np.ndarray, n: int) -> list[int]:
             x = parent[x]
         return x
 
-    taken, first, second = [], pairs[0].tolist(), pairs[1].tolist()
+    taken, first, second, group = [], pairs[0].tolist(), pairs[1].tolist(), group.tolist()
     for i in np.argsort(-pairs[2], kind="stable").tolist():
-        a, b = root(first[i]), root(second[i])
-        if a != b:
+        a, b = root(group[first[i]]), root(group[second[i]])
+        if a != b and test(first[i], second[i]):
             parent[b] = a
             taken.append(i)
     return taken
@@ -202,9 +258,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) ->
                     blobs.append(s.astype("<u8").tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(blobs, pa.binary())], ["d1", "d2", "set"])
 
-    ids = wanted.select(F.col("rep").alias("_rep")).distinct()
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
+    ids = few(wanted.select(F.col("rep").alias("_rep")).distinct())
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(ids, F.col("_id").eqNullSafe(F.col("_rep")), "left_semi").select("_text")
     sets = texts.mapInArrow(run, "d1 long, d2 long, set binary").select(F.xxhash64("d1", "d2").alias("cid"), "set")
     return sets.join(wanted.select("cid").distinct(), "cid", "left_semi").dropDuplicates(["cid"])
@@ -227,13 +281,8 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 if blob is not None:
                     held[a] = np.frombuffer(blob, "<u8")
                 elif a in held and b in held:
-                    x, y = held[a], held[b]
-                    if 100 * min(len(x), len(y)) >= percent * max(len(x), len(y)):
-                        both = np.concatenate([x, y])
-                        both.sort()
-                        common = int(np.count_nonzero(both[1:] == both[:-1]))
-                        if 100 * common >= percent * (len(both) - common):
-                            links.append((a, b))
+                    if is_link(held[a], held[b], percent):
+                        links.append((a, b))
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64())], ["a", "b"])
 
     return rows.repartition("key").sortWithinPartitions("key", F.col("b").asc_nulls_first()).mapInArrow(run, "a long, b long")
@@ -253,23 +302,21 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     classes = texts.where("n > 0").groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"))
     classes = materialize(classes.select(F.xxhash64("d1", "d2").alias("cid"), "rep", "keys", "sketch"))
     small, grid = branch(classes, percent)
-    first = materialize(likely_pairs(small, classes, percent))
+    first = materialize(likely_forest(small, classes, percent))
     reps = classes.select("cid", "rep")
-    sets_for = lambda pairs: reps.join(pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct(), "cid", "left_semi")
-    sets = materialize(full_sets(docs, materialize(sets_for(first)), id_col, text_col))
+    wanted = reps.join(first.select(F.col("a").alias("cid")).union(first.select("b")).distinct(), "cid", "left_semi")
+    sets = materialize(full_sets(docs, materialize(wanted), id_col, text_col))
     links = materialize(confirm(first, sets, percent))
     labels = materialize(components(links).withColumnRenamed("node", "cid"))
-    nodes = small if grid is None else small.union(grid)
-    # Only classes with a likely pair, or in the grid, can have more links.
-    nodes = nodes.join(sets.select("cid"), "cid", "left_semi") if grid is None else nodes
+    # A class without a likely pair in the small nodes has links in the grid only.
+    nodes = small.join(sets.select("cid"), "cid", "left_semi") if grid is None else small.union(grid)
     marked = nodes.join(labels, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
     mixed = marked.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
-    second = likely_pairs(nodes.join(mixed, "key", "left_semi"), classes, percent, labels).join(first.select("a", "b").distinct(), ["a", "b"], "left_anti")
-    second = materialize(second)
+    members = materialize(crossing(nodes.join(mixed, "key", "left_semi"), classes, labels, percent))
     if grid is not None:
-        missing = materialize(sets_for(second).join(sets, "cid", "left_anti"))
+        missing = materialize(reps.join(members.select("cid").distinct(), "cid", "left_semi").join(sets, "cid", "left_anti"))
         sets = sets.union(materialize(full_sets(docs, missing, id_col, text_col)))
-    more = materialize(confirm(second, sets, percent))
+    more = materialize(crossing_links(members, classes, labels, sets, percent))
     if not more.isEmpty():
         labels = materialize(components(links.union(more)).withColumnRenamed("node", "cid"))
     found = reps.join(labels, "cid")
@@ -284,5 +331,4 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     """The rows of ``docs``, all columns, of one document in each component.
     Rows with one id stay or go together."""
     judged = materialize(near_duplicates(docs, id_col=id_col, text_col=text_col, percent=percent))
-    gone = judged.where("not kept").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(gone, id_col, "left_anti").select(*docs.columns)
+    return without(docs, id_col, judged.where("not kept").select("doc_id"))
