@@ -20,6 +20,7 @@ from poolwright.operators.sequence import Scope, Step
 from poolwright.schema import Model
 from poolwright.sources import snapshot
 from poolwright.sources.backend import ERROR, Backend, FailurePolicy
+from poolwright.sources.versions import Held, Tables
 
 
 class Metrics:
@@ -70,16 +71,17 @@ class Subscription:
     """A subscriber's place in the change log."""
 
     def __init__(self, pool: "Pool"):
-        self._pool, self._at = pool, len(pool._log)
+        self._pool, self._at = pool, len(pool.store)
 
     def poll(self) -> list[Row]:
         """Events since the last call, in order; raises Lagged once if more
         have come than the channel holds, then goes on from the oldest held."""
-        log, capacity = self._pool._log, self._pool.config.event_channel_capacity
-        if len(log) - self._at > capacity:
-            missed, self._at = len(log) - self._at - capacity, len(log) - capacity
+        store, capacity = self._pool.store, self._pool.config.event_channel_capacity
+        end = len(store)
+        if end - self._at > capacity:
+            missed, self._at = end - self._at - capacity, end - capacity
             raise Lagged(f"{missed} events")
-        out, self._at = log[self._at :], len(log)
+        out, self._at = store.events(self._at, end), end
         return out
 
 
@@ -87,12 +89,12 @@ class Pool:
     """Rows of one model, at most ``lru_size`` of them."""
 
     def __init__(self, spark: SparkSession, model: Model, config: Config | None = None, *, backend: Backend | None = None,
-                 clock: Callable[[], datetime] = lambda: datetime.now(timezone.utc), store: Callable[[DataFrame], DataFrame] | None = None):
+                 clock: Callable[[], datetime] = lambda: datetime.now(timezone.utc), store: Held | Tables | None = None):
         self.spark, self.model, self.config, self.backend, self.clock = spark, model, config or Config(), backend, clock
-        self._store = store or (lambda df: spark.createDataFrame(df.collect(), df.schema))  # at most lru_size rows
+        self.store = Held(spark) if store is None else store
         self._write, self._flights, self._flight_lock = threading.RLock(), {}, threading.Lock()
         self._state = m.resident(spark.createDataFrame([], model.schema))
-        self._epoch, self._log, self._suppressed, self._reserved = 0, [], set(), set()
+        self._epoch, self._suppressed, self._reserved = 0, set(), set()
         self.version = 0
 
     # reading
@@ -126,7 +128,8 @@ class Pool:
         return Subscription(self)
 
     def changelog(self) -> list[Row]:
-        return list(self._log)
+        """All events so far, in order."""
+        return self.store.events(0, len(self.store))
 
     # helpers
 
@@ -162,19 +165,14 @@ class Pool:
 
     def _commit(self, merged: m.Merge) -> dict:
         """Publish a version, then its events, then the size."""
-        state = self._store(merged.state)
-        events = merged.events.orderBy("phase", *self.model.keys).collect()  # bounded by the batch
-        stats = {"applied_items": 0, "tombstones_evicted": 0, "lru_evictions": 0, "backend_reserved_skips": merged.reserved_skips}
-        for e in events:
-            stats["applied_items"] += e["kind"] != m.INVALIDATE
-            stats["tombstones_evicted"] += e["reason"] == m.ON_DELETE
-            stats["lru_evictions"] += e["reason"] == m.LRU_EVICT
+        state = self.store.save(merged.state)
+        told = self.store.append(merged.events, self.model.keys)
         self._state, self.version = state, self.version + 1
-        self._log.extend(events)
-        for reason in {e["reason"] for e in events if e["reason"]}:
-            self._tell("eviction", reason, sum(e["reason"] == reason for e in events))
+        by = lambda test: sum(n for (kind, reason), n in told.items() if test(kind, reason))
+        for reason in {r for _, r in told if r}:
+            self._tell("eviction", reason, by(lambda k, r, reason=reason: r == reason))
         self._tell("size", state.count())
-        return stats
+        return {"applied_items": by(lambda k, r: k != m.INVALIDATE), "tombstones_evicted": by(lambda k, r: r == m.ON_DELETE), "lru_evictions": by(lambda k, r: r == m.LRU_EVICT), "backend_reserved_skips": merged.reserved_skips}
 
     def _options(self, **more) -> dict:
         self._epoch += 1
@@ -233,6 +231,20 @@ class Pool:
             raise SerializationFailed(text[:80])
         return self.insert(row)
 
+    def get_many_through(self, ids: Iterable[Any] | DataFrame) -> DataFrame:
+        """Live rows of the ids from this pool, and of the others from the
+        store, which does not fill the pool; each id once, in no order."""
+        asked = self._ids(ids).select(*self.model.keys).distinct()
+        here = self.dataframe()
+        hits = here.alias("s").join(asked.alias("q"), m._on(self.model.keys, "s", "q"), "left_semi")
+        if self.backend is None:
+            return hits
+        missing = asked.alias("q").join(here.alias("s"), m._on(self.model.keys, "q", "s"), "left_anti")
+        if self._suppressed:
+            missing = missing.alias("q").join(self._ids(self._suppressed).alias("s"), m._on(self.model.keys, "q", "s"), "left_anti")
+        found, error = self.config.failure.run(lambda: self.backend.get(self.model, self.config.namespace, missing, self.now()), lambda e: self._tell("backend_error", e))
+        return hits if error is not None else hits.unionByName(found.select(*self.model.columns()))
+
     def insert_many(self, rows: Iterable[dict | Row] | DataFrame) -> dict:
         """Upsert rows of distinct ids at once; all or nothing under reject."""
         new = self._rows(rows)
@@ -266,9 +278,9 @@ class Pool:
             gone = self._state.where(which)
             row = F.struct(*self.model.columns())
             events = gone.where(m.live(self.now())).select(F.lit(0).alias("phase"), *self.model.keys, F.lit(m.INVALIDATE).alias("kind"), F.lit(reason).alias("reason"), row.alias("old"), F.when(F.lit(False), row).alias("new"))
-            before = len(self._log)
+            before = len(self.store)
             self._commit(m.Merge(self._state.where(~which), events))
-            return len(self._log) > before
+            return len(self.store) > before
 
     def listen(self) -> None:
         """Apply what the store's invalidation stream has, until it ends."""
@@ -301,9 +313,9 @@ class Pool:
     def sweep(self) -> int:
         """Remove expired rows, with an event each; their number."""
         with self._write:
-            before = len(self._log)
+            before = len(self.store)
             self._commit(m.purge_expired(self._state, self.now(), self.model.keys))
-            return len(self._log) - before
+            return len(self.store) - before
 
     # fetching
 
@@ -316,7 +328,7 @@ class Pool:
                 with self._write:
                     self._epoch += 1
                     self._state = self._state.withColumn("_epoch", F.when(self._where(id), F.lit(self._epoch)).otherwise(F.col("_epoch")))
-                    self._state = self._store(self._state)
+                    self._state = self.store.save(self._state)
         return row
 
     def get_through(self, id: Any) -> Row | None:

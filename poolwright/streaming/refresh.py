@@ -93,7 +93,7 @@ class DeltaSubscription:
         self._queue: dict[tuple, tuple[int, int]] = {}  # id: attempts, tick from which it may be asked for
         self._tick = self._progress = 0
         self._lost = self._settled = 0  # generations of lost events, and up to which a full refresh has made up
-        self._seen = len(pool.changelog())
+        self._seen = len(pool.store)
         self._lock, self._flight, self._cancelled = threading.Lock(), {}, False
         self._running = threading.RLock()
 
@@ -164,13 +164,13 @@ class DeltaSubscription:
 
     def _observe(self) -> None:
         """Queue members that were evicted since the last look."""
-        events = self._pool.changelog()
-        keys = self._pool.model.keys
-        for e in events[self._seen :]:
+        store, keys = self._pool.store, self._pool.model.keys
+        end = len(store)
+        for e in store.events(self._seen, end):
             id = tuple(e[k] for k in keys)
             if self._recover and e["reason"] == LRU_EVICT and id in self.members:
                 self._queue.setdefault(id, (0, 0))
-        self._seen = len(events)
+        self._seen = end
 
     def _run(self, kind: str) -> dict:
         pool = self._pool

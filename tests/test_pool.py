@@ -15,6 +15,7 @@ from poolwright.operators.pool import Config, Lagged, Metrics, Pool
 from poolwright.schema import Model, unsigned
 from poolwright.sources import snapshot
 from poolwright.sources.backend import FailurePolicy, Invalidation, MemoryBackend, ParquetBackend, RedisBackend, keyspace
+from poolwright.sources.versions import Tables
 
 ITEM = Model("app.Item", T.StructType([T.StructField("id", T.LongType(), False), T.StructField("group", T.StringType()), T.StructField("name", T.StringType())]))
 
@@ -340,6 +341,28 @@ def test_catalog(spark, clock):
     assert {tuple(r) for r in catalog.all_of(named).collect()} == {("Bar", "b")}
 
 
+def test_tables(spark, clock, tmp_path):
+    """Versions and log as Parquet: the same results, nothing in the driver."""
+    pool = Pool(spark, ITEM, Config(lru_size=2), clock=clock, store=Tables(spark, str(tmp_path), keep=2))
+    sub = pool.events()
+    pool.insert_many([item(1, "a"), item(2, "b")])
+    assert pool.apply_delta([item(3, "c")], [1]) == dict(applied_items=1, tombstones_evicted=1, lru_evictions=0, backend_reserved_skips=0)
+    assert pool.apply_delta([item(4, "d")])["lru_evictions"] == 1
+    assert told(sub.poll()) == [("insert", 1, None), ("insert", 2, None), ("invalidate", 1, "on_delete"), ("insert", 3, None), ("invalidate", 2, "lru_evict"), ("insert", 4, None)]
+    assert names(pool) == {3: "c", 4: "d"} and sub.poll() == [] and len(list((tmp_path / "state").iterdir())) == 2
+    assert [r["_seq"] for r in pool.store.changelog().orderBy("_seq").collect()] == list(range(6))
+
+
+def test_bulk_reads_through(spark, clock):
+    backend = MemoryBackend()
+    one = make(spark, clock, backend=backend)
+    for i in (1, 2, 3):
+        one.insert(item(i, "stored"))
+    two = make(spark, clock, backend=backend)
+    two.insert_many([item(1, "own")])
+    assert {(r["id"], r["name"]) for r in two.get_many_through([1, 2, 2, 9]).collect()} == {(1, "own"), (2, "stored")} and len(two) == 1
+
+
 def test_composite_keys(spark, clock):
     model = Model("t", T.StructType([T.StructField("tenant", T.StringType()), T.StructField("id", T.LongType()), T.StructField("v", T.LongType())]), key=("tenant", "id"))
     pool = Pool(spark, model, clock=clock)
