@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from poolwright.llm import textnp
-from poolwright.llm.stage import materialize
+from poolwright.llm.stage import materialize, without
 
 BUCKETS = 1 << 16
 #: At most so many declared texts of a language are expected in the sample
@@ -178,4 +178,4 @@ def keep_identified(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     share an id go together; rows with a null id stay."""
     cols = {"id_col": id_col, "text_col": text_col, "lang_col": lang_col}
     judged = materialize(identify(document_records(docs, host_col=host_col, **cols), fit(docs, **cols)).select("doc_id", "kept"))
-    return docs.join(judged.where(~F.col("kept")).select(F.col("doc_id").alias(id_col)).distinct(), id_col, "left_anti").select(*docs.columns)
+    return without(docs, id_col, judged.where(~F.col("kept")).select("doc_id"))

@@ -10,7 +10,7 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from poolwright.llm.stage import materialize
+from poolwright.llm.stage import few, materialize
 
 
 class Rule(NamedTuple):
@@ -101,11 +101,12 @@ FOUND = "array<struct<start:int,kind_no:int,end:int,kind:string>>"
 def by_path(versions: DataFrame, found: DataFrame, *, text_col: str = "text") -> DataFrame:
     """Every row of ``versions`` with ``blob`` and ``found`` (empty if none).
 
-    The sides are joined on the blob; a blob with very many paths is a skewed
-    key, which adaptive execution splits.
+    Blobs with findings are broadcast if they are few, so texts stay where they
+    are; else a blob with very many paths is a skewed key, which adaptive
+    execution splits.
     """
     taken = versions.withColumn("blob", blob_id(F.col(text_col)))
-    return taken.join(found, "blob", "left").withColumn("found", F.coalesce("found", F.array().cast(FOUND)))
+    return taken.join(few(found), "blob", "left").withColumn("found", F.coalesce("found", F.array().cast(FOUND)))
 
 
 def joined(found: Column) -> Column:
@@ -122,7 +123,7 @@ def digest(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", l
     base = F.filter("found", lambda x: x["kind_no"] < len(BASE))
     count = lambda kind: F.size(F.filter("found", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
     facts = found.select("blob", *(count(r.kind) for r in BASE), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("found")).alias("spans"))
-    paths = docs.select(F.col(id_col).alias("doc_id"), blob_id(F.col(text_col)).alias("blob")).join(facts, "blob", "left")
+    paths = docs.select(F.col(id_col).alias("doc_id"), blob_id(F.col(text_col)).alias("blob")).join(few(facts), "blob", "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
     return paths.select("doc_id", *(zero(f"n_{r.kind}") for r in BASE), F.coalesce("base_sha256", F.sha2(F.lit(""), 256)).alias("base_sha256"), F.coalesce("spans", F.lit("")).alias("spans"))
 
