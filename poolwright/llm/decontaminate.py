@@ -142,7 +142,7 @@ def _leaks(w: textnp.Words, seeds: Seeds, block: list[tuple[int, np.ndarray]], l
         yield d, t, -score, start - int(w.bounds[d]), end - int(w.bounds[d])
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", least: float = 0.5) -> DataFrame:
+def find_leaks(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", least: float = 0.4) -> DataFrame:
     """doc_id, item_id, score, full_score (of an exact copy), start_word,
     end_word for each document and item with a score of at least the share
     ``least`` of the full one; of equal ones the first place in the text.
@@ -176,7 +176,7 @@ def seeds_of(docs: DataFrame, text_col: str, block: list[tuple[int, np.ndarray]]
     return Seeds(block, total, vocabulary, counts)
 
 
-def drop_leaks(docs: DataFrame, items: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", least: float = 0.5) -> DataFrame:
+def drop_leaks(docs: DataFrame, items: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", least: float = 0.4) -> DataFrame:
     """The rows of ``docs``, all columns, that hold no item of the benchmark."""
     place = docs.columns.index(text_col)
     for block in blocks(items, item_col, item_text_col):
