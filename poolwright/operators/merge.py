@@ -49,6 +49,14 @@ def resident(rows: DataFrame, *, expires_at: Column | None = None, epoch: Column
         "_epoch": (F.lit(0) if epoch is None else epoch).cast("long")})
 
 
+def deadline(now: datetime, ttl: timedelta | None) -> datetime | None:
+    """When a row written now expires; never, if the time is beyond all dates."""
+    try:
+        return None if ttl is None else now + ttl
+    except OverflowError:
+        return None
+
+
 def live(now: datetime, prefix: str = "") -> Column:
     """Resident and not expired: the deadline itself is past."""
     at = F.col(f"{prefix}_expires_at")
@@ -126,11 +134,11 @@ def merge(state: DataFrame, items: DataFrame, *, keys: tuple[str, ...], now: dat
     both = both.withColumns({"_live": was_live, "_take": take})
     absent = ~F.col("_item") if gone else F.lit(False)
     removed = F.col("_had") & ~F.col("_take") & (F.col("_dead") | absent)
-    deadline = F.lit(now + ttl if ttl is not None else None).cast("timestamp")
+    until = F.lit(deadline(now, ttl)).cast("timestamp")
     chosen = F.when(F.col("_take"), F.col("new")).otherwise(F.col("old"))
     after = both.where(~removed & (F.col("_take") | F.col("_had"))).select(
         *(chosen[c].alias(c) for c in columns),
-        F.when(F.col("_take"), deadline).otherwise(F.col("_expires_at")).alias("_expires_at"),
+        F.when(F.col("_take"), until).otherwise(F.col("_expires_at")).alias("_expires_at"),
         F.when(F.col("_take"), F.lit(epoch).cast("long")).otherwise(F.col("_epoch")).alias("_epoch"))
     victims = None
     if lru_size is not None:

@@ -94,7 +94,7 @@ class Pool:
         self.store = Held(spark) if store is None else store
         self._write, self._flights, self._flight_lock = threading.RLock(), {}, threading.Lock()
         self._state = m.resident(spark.createDataFrame([], model.schema))
-        self._epoch, self._suppressed, self._reserved = 0, set(), set()
+        self._epoch, self._suppressed, self._reserved, self._touched = 0, set(), set(), {}
         self.version = 0
 
     # reading
@@ -174,6 +174,16 @@ class Pool:
         self._tell("size", state.count())
         return {"applied_items": by(lambda k, r: k != m.INVALIDATE), "tombstones_evicted": by(lambda k, r: r == m.ON_DELETE), "lru_evictions": by(lambda k, r: r == m.LRU_EVICT), "backend_reserved_skips": merged.reserved_skips}
 
+    def _settle(self) -> DataFrame:
+        """The residents with the recency of all reads since the last write."""
+        if self._touched:
+            kinds = ", ".join(f"`{k}` {self.model.schema[k].dataType.simpleString()}" for k in self.model.keys)
+            seen = self.spark.createDataFrame([(*k, e) for k, e in self._touched.items()], f"{kinds}, _seen long")
+            joined = self._state.alias("s").join(seen.alias("t"), m._on(self.model.keys, "s", "t"), "left")
+            self._state = joined.select(*(f"s.{c}" for c in (*self.model.columns(), "_expires_at")), F.greatest("s._epoch", "t._seen").alias("_epoch"))
+            self._touched = {}
+        return self._state
+
     def _options(self, **more) -> dict:
         self._epoch += 1
         reserved = self._ids(self._reserved) if self._reserved else None
@@ -204,7 +214,7 @@ class Pool:
             with self._write:
                 self._reserved.discard(key)
                 # The row itself is the newest, so the cap never evicts it.
-                self._commit(m.merge(self._state, one, **self._options(ttl=ttl)))
+                self._commit(m.merge(self._settle(), one, **self._options(ttl=ttl)))
         finally:
             self._reserved.discard(key)
         if self.backend is not None and not strict:
@@ -214,7 +224,7 @@ class Pool:
         return row
 
     def _put(self, rows: DataFrame, ttl: timedelta | None) -> None:
-        at = F.lit(self.now() + ttl if ttl is not None else None).cast("timestamp")
+        at = F.lit(m.deadline(self.now(), ttl)).cast("timestamp")
         self.backend.put(self.model, self.config.namespace, rows.withColumn("_expires_at", at), self.now())
 
     def insert_with_ttl(self, row: dict | Row, ttl: timedelta) -> dict:
@@ -253,7 +263,7 @@ class Pool:
                 live = self._state.where(m.live(self.now()))
                 if not new.alias("i").join(live.alias("s"), m._on(self.model.keys, "i", "s"), "left_semi").isEmpty():
                     raise Conflict("a row's id is resident")
-            return self._commit(m.merge(self._state, new, **self._options()))
+            return self._commit(m.merge(self._settle(), new, **self._options()))
 
     def invalidate(self, id: Any, reason: str = m.MANUAL) -> bool:
         """Remove a row; an event if it was live.  Callers cannot claim the
@@ -279,7 +289,7 @@ class Pool:
             row = F.struct(*self.model.columns())
             events = gone.where(m.live(self.now())).select(F.lit(0).alias("phase"), *self.model.keys, F.lit(m.INVALIDATE).alias("kind"), F.lit(reason).alias("reason"), row.alias("old"), F.when(F.lit(False), row).alias("new"))
             before = len(self.store)
-            self._commit(m.Merge(self._state.where(~which), events))
+            self._commit(m.Merge(self._settle().where(~which), events))
             return len(self.store) > before
 
     def listen(self) -> None:
@@ -295,7 +305,7 @@ class Pool:
         dead = self._ids(tombstones)
         with self._write:
             options = self._options(seq=seq, recovered=None if recovered is None else self._ids(recovered), cursor=self.model.watermark)
-            return self._commit(m.merge(self._state, items, tombstones=dead, **options))
+            return self._commit(m.merge(self._settle(), items, tombstones=dead, **options))
 
     def _sequenced(self, items, seq: Column | None) -> tuple[DataFrame, Column | None]:
         if isinstance(items, DataFrame):
@@ -308,13 +318,13 @@ class Pool:
         """Upsert a fetched set; with ``replace`` residents that it lacks go."""
         items, seq = self._sequenced(items, seq)
         with self._write:
-            return self._commit(m.merge(self._state, items, gone=m.MANUAL if replace else None, **self._options(seq=seq)))
+            return self._commit(m.merge(self._settle(), items, gone=m.MANUAL if replace else None, **self._options(seq=seq)))
 
     def sweep(self) -> int:
         """Remove expired rows, with an event each; their number."""
         with self._write:
             before = len(self.store)
-            self._commit(m.purge_expired(self._state, self.now(), self.model.keys))
+            self._commit(m.purge_expired(self._settle(), self.now(), self.model.keys))
             return len(self.store) - before
 
     # fetching
@@ -327,8 +337,7 @@ class Pool:
             if row is not None:
                 with self._write:
                     self._epoch += 1
-                    self._state = self._state.withColumn("_epoch", F.when(self._where(id), F.lit(self._epoch)).otherwise(F.col("_epoch")))
-                    self._state = self.store.save(self._state)
+                    self._touched[self._id(id)] = self._epoch
         return row
 
     def get_through(self, id: Any) -> Row | None:
@@ -357,7 +366,7 @@ class Pool:
             held = self.get(id, touch=False)
             if held is not None:
                 return held
-            self._commit(m.merge(self._state, self._rows([row]), **self._options(ttl=ttl)))
+            self._commit(m.merge(self._settle(), self._rows([row]), **self._options(ttl=ttl)))
         return Row(**row)
 
     def get_or_fetch(self, id: Any, fetcher: Callable[[Any], dict | None]) -> Row | None:
@@ -420,10 +429,10 @@ class Pool:
     # snapshots
 
     def export_entries(self, path: str) -> None:
-        snapshot.write(self._state, self.model, path, self.now())
+        snapshot.write(self._settle(), self.model, path, self.now())
 
     def snapshot(self, path: str, *, hints: bool = False) -> None:
-        snapshot.write(self._state, self.model, path, self.now(), kind=snapshot.HINTS if hints else snapshot.ENTRIES)
+        snapshot.write(self._settle(), self.model, path, self.now(), kind=snapshot.HINTS if hints else snapshot.ENTRIES)
 
     def restore_entries(self, path: str) -> dict:
         return self._restore(path, (snapshot.ENTRIES,))
@@ -444,7 +453,7 @@ class Pool:
                 self._epoch = max(self._epoch, (top or 0) + 1)
             else:
                 self._epoch += 1
-                at = F.lit(self.now() + self.config.default_ttl if self.config.default_ttl else None).cast("timestamp")
+                at = F.lit(m.deadline(self.now(), self.config.default_ttl)).cast("timestamp")
                 rows = rows.withColumns({"_expires_at": at, "_epoch": F.lit(self._epoch).cast("long")})
             merged = m.refresh_replace(self._state, rows.select(*self.model.columns()), keys=self.model.keys, now=self.now(), policy=m.UPDATE if self.config.on_conflict == m.UPDATE else m.LAST_WRITE_WINS)
             self._commit(m.Merge(rows, merged.events))

@@ -96,6 +96,8 @@ def test_ttl(spark, clock):
     clock.step(5)
     assert pool.get(1) is None and len(pool) == 2 and names(pool) == {2: "x"}
     assert not pool.invalidate(1) and len(pool) == 1
+    pool.insert_with_ttl(item(4), timedelta.max)
+    assert set(names(pool)) == {2, 4} and pool.invalidate(4)
     pool.insert_with_ttl(item(3), timedelta(seconds=1))
     clock.step(1)
     sub = pool.events()
