@@ -39,7 +39,7 @@ grams AS (SELECT r, i, md5(array_to_string(w[i:i+4], ' ')) AS g FROM (SELECT r,
 twice AS (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS n FROM grams),
 rep AS (SELECT r, sum(least(5, next - i))::BIGINT AS n FROM (SELECT r, i, lead(i, 1, 1000000000) OVER (PARTITION BY r ORDER BY i) AS next FROM twice WHERE n > 1) GROUP BY r),
 f0 AS (SELECT doc_id, lines.r, stratum, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols, len(l)::BIGINT AS n_lines,
-  (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, CASE WHEN len(w) >= 10 THEN coalesce(rep.n, 0) ELSE 0 END AS n_repeat_words FROM lines LEFT JOIN rep ON rep.r = lines.r),
+  (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words FROM lines LEFT JOIN rep ON rep.r = lines.r),
 f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM f0),
 long AS ({long}),
 good AS (SELECT doc_id FROM labels GROUP BY doc_id HAVING min(coalesce(quality, 0)) = 1),

@@ -57,7 +57,7 @@ def signals(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
         F.length(F.array_join("_w", "")).cast("long").alias("word_chars"),
         F.size("_l").cast("long").alias("n_lines"),
         (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
-        F.when(F.size("_w") >= 10, F.transform(F.sequence(F.lit(0), F.size("_w") - 5), lambda i: F.xxhash64(*(F.get(F.col("_w"), i + k) for k in range(5))))).alias("_g"),
+        F.when(F.size("_w") >= 6, F.transform(F.sequence(F.lit(0), F.size("_w") - 5), lambda i: F.xxhash64(*(F.get(F.col("_w"), i + k) for k in range(5))))).alias("_g"),
     )
     base = base.withColumn("_s", F.when(F.size(F.array_distinct("_g")) < F.size("_g"), F.sort_array(F.transform("_g", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
     near = lambda x, j: F.coalesce(F.get(F.col("_s"), j)["h"] == x["h"], F.lit(False))

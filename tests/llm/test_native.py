@@ -19,7 +19,7 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 def signals(text):
     w, t = WORD.findall(text or ""), text or ""
     grams = Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
-    covered = {i + k for i in range(len(w) - 4) if grams[tuple(w[i : i + 5])] > 1 for k in range(5)} if len(w) >= 10 else set()
+    covered = {i + k for i in range(len(w) - 4) if grams[tuple(w[i : i + 5])] > 1 for k in range(5)}
     lines = [x for x in t.split("\n") if WORD.search(x)]
     return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(covered)
 
@@ -33,11 +33,10 @@ def test_signals(spark, messy, empty):
     assert quality.signals(empty).count() == 0
 
 
-def test_nine_words_have_no_repeats_that_count(spark):
-    """With nine words or fewer the rule on length decides alone."""
-    df = spark.createDataFrame([(1, "a " * 9), (2, "a " * 10)], "doc_id long, text string")
+def test_repeats_in_short_texts(spark):
+    df = spark.createDataFrame([(n, "a " * n) for n in range(12)] + [(20, "a b c d e a b c d e"), (21, "a b c d e f")], "doc_id long, text string")
     got = {r["doc_id"]: r["n_repeat_words"] for r in quality.signals(df).collect()}
-    assert got[2] == 10
+    assert got == {n: n if n >= 6 else 0 for n in range(12)} | {20: 10, 21: 0}
 
 
 def test_binomial_tail(spark):
