@@ -1,5 +1,8 @@
 """Intermediate tables in the folder that all executors share."""
 
+import gc
+import itertools
+import re
 import tempfile
 import uuid
 
@@ -7,6 +10,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Up to so many ids are broadcast; more are joined by shuffle.
 BROADCAST_IDS = 200_000
+#: After so many written tables the driver is asked to collect its garbage.
+RELEASE_EVERY = 2
+_written = itertools.count(1)
+_deleted: set[str] = set()
 
 
 def stage_root(spark: SparkSession) -> str:
@@ -18,7 +25,7 @@ def stage_root(spark: SparkSession) -> str:
     sc = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not root:
-        if not sc.master.startswith("local"):
+        if not re.match(r"local(\[|$)", sc.master):
             raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
         root = tempfile.mkdtemp(prefix="poolwright-")
         sc.setCheckpointDir(root)
@@ -28,13 +35,29 @@ def stage_root(spark: SparkSession) -> str:
 
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet and read it back: it is computed once, its
-    lineage is cut, and the loss of an executor does not lose it."""
+    lineage is cut, and the loss of an executor does not lose it.
+
+    Shuffle files and broadcasts of plans that are no longer in use go when the
+    driver's garbage is collected, which it does rarely by itself."""
     spark = df.sparkSession
     path = f"{stage_root(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _delete_at_end(spark)
+    if next(_written) % RELEASE_EVERY == 0:
+        gc.collect()
+        spark._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete_at_end(spark: SparkSession) -> None:
+    """Let the folder of this application go when the driver ends."""
+    root = stage_root(spark)
+    if root not in _deleted:
+        path = spark._jvm.org.apache.hadoop.fs.Path(root)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+        _deleted.add(root)
+
+
 def few(ids: DataFrame) -> DataFrame:
     """``ids``, written, to be broadcast if they are at most BROADCAST_IDS."""
     ids = materialize(ids)
