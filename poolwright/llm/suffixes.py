@@ -183,7 +183,7 @@ def _first_texts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     stay among the first: their strings are found to be repeated like others."""
     stamped = docs.where(F.octet_length("text") >= LENGTH).select("id", F.sha2("text", 256).alias("sha"))
     groups = stamped.groupBy("sha").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    later = few(stamped.join(groups.select("sha", "first"), "sha").where(~F.col("id").eqNullSafe(F.col("first"))).select(F.col("id").alias("_lid"), "sha").distinct())
+    later = few(stamped.join(few(groups.select("sha", "first")), "sha").where(~F.col("id").eqNullSafe(F.col("first"))).select(F.col("id").alias("_lid"), "sha").distinct())
     return _with_sha(docs.where(F.octet_length("text") >= LENGTH)).join(later, ["_lid", "sha"], "left_anti").select("id", "text"), later
 
 
@@ -202,9 +202,9 @@ def _shared(x: np.ndarray) -> np.ndarray:
 
 
 def _seed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Surroundings to compare; those met before in the batch are known to be
+    """Surroundings to compare; those met before in the slice are known to be
     repeated and go along under a hash of their own."""
-    for batch in batches:
+    for batch in textnp.slices(batches):
         found = []
         for first, _, data, offsets in textnp.chunks(batch.column(1)):
             text, *rest = seeds(data, offsets)
@@ -288,8 +288,8 @@ def _expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (id, text, hash, start, stop) with their surroundings as pieces."""
-    for batch in batches:
+    """Rows (id, text, spots) as one row for each spot, with its bytes."""
+    for batch in textnp.slices(batches):
         ids, texts, spots = batch.column(0), batch.column(1), batch.column(2)
         which, pieces, rows = [], [], []
         for i, (text, found) in enumerate(zip(texts, spots.to_pylist(), strict=True)):
@@ -374,7 +374,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     hit = rest.join(ids, rest["id"].eqNullSafe(F.col("_id")), "left_semi").join(listed, F.col("id").eqNullSafe(F.col("_id"))).select("id", "text", "n_bytes", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in textnp.slices(batches):
             out = [_merged(t.as_py().encode(), [(s["start"], s["stop"]) for s in x]) for t, x in zip(batch.column(1), batch.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int64()), pa.array([r[2] for r in out], pa.binary())], ["id", "n_bytes", "n_removed", "n_spans", "kept"])
 

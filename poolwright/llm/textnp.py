@@ -62,6 +62,14 @@ def chunks(column: pa.Array, size: int = CHUNK) -> Iterator[tuple[int, int, np.n
         first = last
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of at most ``rows``, for work that holds several
+    times what it reads."""
+    for batch in batches:
+        for first in range(0, batch.num_rows, rows):
+            yield batch.slice(first, rows)
+
+
 def words(data: np.ndarray, offsets: np.ndarray, fold: np.ndarray = LOWER) -> Words:
     """Words of the texts that ``offsets`` cut from ``data``, after ``fold``."""
     n = len(data)
