@@ -10,7 +10,7 @@ from datetime import datetime, timedelta
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from poolwright.errors import ConfigError
 
@@ -63,14 +63,6 @@ def live(now: datetime, prefix: str = "") -> Column:
     return at.isNull() | (at > F.lit(now))
 
 
-def last_of(items: DataFrame, keys: tuple[str, ...], seq: Column | None) -> DataFrame:
-    """The last row of each key by ``seq``; without it keys must be unique."""
-    if seq is None:
-        return items
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(seq.desc()))
-    return items.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
-
-
 def _on(keys: tuple[str, ...], left: str, right: str) -> Column:
     return reduce(and_, (F.col(f"{left}.{k}").eqNullSafe(F.col(f"{right}.{k}")) for k in keys))
 
@@ -104,31 +96,16 @@ def merge(state: DataFrame, items: DataFrame, *, keys: tuple[str, ...], now: dat
     if policy not in POLICIES:
         raise ConfigError(f"no policy {policy!r}")
     columns = [c for c in state.columns if c not in ("_expires_at", "_epoch")]
-    spark = state.sparkSession
-    tombstones = spark.createDataFrame([], state.select(*keys).schema) if tombstones is None else tombstones.select(*keys).distinct()
-    items = items.alias("i").join(tombstones.alias("t"), _on(keys, "i", "t"), "left_anti")
-    items = last_of(items, keys, seq).select(*columns)
     if reserved is not None:
-        touched = items.select(*keys).union(tombstones)
-        skips = touched.alias("i").join(reserved.select(*keys).alias("r"), _on(keys, "i", "r"), "left_semi").count()
+        skips = _touching(items, tombstones, reserved, keys)
         if skips:
             return Merge(state, _no_events(state, keys, columns), skips)
-    row = lambda side: F.when(F.col(f"{side}._here"), F.struct(*(F.col(f"{side}.{c}").alias(c) for c in columns)))
-    old = state.withColumn("_here", F.lit(True)).alias("o")
-    new = items.withColumn("_here", F.lit(True)).alias("n")
-    both = old.join(new, _on(keys, "o", "n"), "full_outer")
-    both = both.select(
-        *(F.coalesce(F.col(f"n.{k}"), F.col(f"o.{k}")).alias(k) for k in keys), row("o").alias("old"), row("n").alias("new"),
-        F.col("o._expires_at").alias("_expires_at"), F.col("o._epoch").alias("_epoch"), F.col("o._here").isNotNull().alias("_had"), F.col("n._here").isNotNull().alias("_item"))
-    dead = tombstones.withColumn("_dead", F.lit(True)).alias("t")
-    both = both.alias("b").join(dead, _on(keys, "b", "t"), "left").select("b.*", F.col("t._dead").isNotNull().alias("_dead"))
+    both = _aligned(state, items, tombstones, recovered, keys, columns, seq)
     was_live = F.col("_had") & live(now)
     take = F.col("_item")
     if policy == REJECT:
         take = take & ~was_live
     if recovered is not None and cursor is not None:
-        asked = recovered.select(*keys).distinct().withColumn("_asked", F.lit(True)).alias("r")
-        both = both.alias("b").join(asked, _on(keys, "b", "r"), "left").select("b.*", F.col("r._asked").isNotNull().alias("_asked"))
         stale = F.col("_asked") & was_live & (F.col(f"old.{cursor}") > F.col(f"new.{cursor}"))
         take = take & ~F.coalesce(stale, F.lit(False))
     both = both.withColumns({"_live": was_live, "_take": take})
@@ -157,6 +134,41 @@ def merge(state: DataFrame, items: DataFrame, *, keys: tuple[str, ...], now: dat
     return Merge(after, events)
 
 
+def _aligned(state: DataFrame, items: DataFrame, tombstones: DataFrame | None, recovered: DataFrame | None, keys: tuple[str, ...], columns: list[str], seq: Column | None) -> DataFrame:
+    """A row for each key: the resident (old), the last item that no tombstone
+    overrides (new), and what is said of the key.  All sides are united and
+    aggregated by key, so the merge takes one shuffle, and repeated items
+    collapse before it."""
+    schema = state.select(*columns)
+    row = F.struct(*(F.col(f"`{c}`") for c in columns))
+    none = lambda kind: F.lit(None).cast(kind)
+    turn = items.select((F.lit(0) if seq is None else seq).alias("s")).schema["s"].dataType
+    whole = schema.select(row.alias("r")).schema["r"].dataType
+
+    def side(df: DataFrame, kind: str, old=None, new=None, at=None, epoch=None, order=None) -> DataFrame:
+        return df.select(*(F.col(f"`{k}`") for k in keys), F.lit(kind).alias("_kind"), (none(whole) if old is None else old).alias("old"), (none(whole) if new is None else new).alias("new"),
+                         (none("timestamp") if at is None else at).alias("_expires_at"), (none("long") if epoch is None else epoch).alias("_epoch"), (none(turn) if order is None else order).alias("_order"))
+
+    all_ = side(state, "resident", old=row, at=F.col("_expires_at"), epoch=F.col("_epoch")).union(side(items, "item", new=row, order=F.lit(0) if seq is None else seq))
+    if tombstones is not None:
+        all_ = all_.union(side(tombstones, "dead"))
+    if recovered is not None:
+        all_ = all_.union(side(recovered, "asked"))
+    has = lambda kind: F.bool_or(F.col("_kind") == kind)
+    last = F.first("new", ignorenulls=True) if seq is None else F.max_by("new", "_order")
+    out = all_.groupBy(*keys).agg(
+        F.first("old", ignorenulls=True).alias("old"), last.alias("new"), F.max("_expires_at").alias("_expires_at"), F.max("_epoch").alias("_epoch"),
+        has("resident").alias("_had"), has("item").alias("_item"), has("dead").alias("_dead"), has("asked").alias("_asked"))
+    out = out.withColumn("_item", F.col("_item") & ~F.col("_dead"))
+    return out.withColumn("new", F.when(F.col("_item"), F.col("new"))).where("_had or _item")
+
+
+def _touching(items: DataFrame, tombstones: DataFrame | None, reserved: DataFrame, keys: tuple[str, ...]) -> int:
+    """Keys of the batch that are reserved."""
+    touched = items.select(*keys) if tombstones is None else items.select(*keys).union(tombstones.select(*keys))
+    return touched.distinct().alias("i").join(reserved.select(*keys).alias("r"), _on(keys, "i", "r"), "left_semi").count()
+
+
 def _no_events(state: DataFrame, keys: tuple[str, ...], columns: list[str]) -> DataFrame:
     row = F.struct(*columns)
     return state.limit(0).select(F.lit(0).alias("phase"), *keys, F.lit("").alias("kind"), F.lit("").alias("reason"), row.alias("old"), row.alias("new"))
