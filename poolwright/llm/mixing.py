@@ -57,11 +57,12 @@ def rake(cells: DataFrame, targets: Mapping[str, Mapping[str, float] | float], *
     total = cells.agg(F.sum("tokens")).first()[0] or 1
     cells = cells.withColumn("weight", F.col("tokens") / F.lit(float(total)))
     for _ in range(sweeps):
-        off = 0.0
+        cells = cells.withColumn("_off", F.lit(0.0))
         for d, wish in wished.items():
-            sums = materialize(cells.groupBy(d).agg(F.sum("weight").alias("_sum")).join(wish, d).select(d, (F.col("target") / F.col("_sum")).alias("_factor")))
-            off = max(off, sums.agg(F.max(F.abs(F.col("_factor") - 1))).first()[0] or 0.0)
-            cells = materialize(cells.join(sums, d).withColumn("weight", F.col("weight") * F.col("_factor")).drop("_factor"))
+            sums = cells.groupBy(d).agg(F.sum("weight").alias("_sum")).join(wish, d).select(d, (F.col("target") / F.col("_sum")).alias("_factor"))
+            cells = materialize(cells.join(sums, d).withColumns({"weight": F.col("weight") * F.col("_factor"), "_off": F.greatest("_off", F.abs(F.col("_factor") - 1))}).drop("_factor"))
+        off = cells.agg(F.max("_off")).first()[0] or 0.0
+        cells = cells.drop("_off")
         if off <= tolerance:
             break
     return cells
