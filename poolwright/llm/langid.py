@@ -22,7 +22,11 @@ BUCKETS = 1 << 16
 #: that fits the text model, and so many languages are modelled.
 SAMPLE, LANGUAGES = 1500, 32
 #: Trigrams of a text depend on each other: its log-likelihood counts so much.
-TEMPER = 0.1
+TEMPER = 0.3
+#: Letters in lower case; every other ASCII byte is a space, so numbers, codes
+#: and markup say nothing of a language.
+LETTERS = textnp.LOWER.copy()
+LETTERS[[i for i in range(128) if not chr(i).isalpha()]] = 32
 #: Pseudo-counts: of a level above in a prior, of each cell in a confusion.
 PRIOR, CELL = 20.0, 1.0
 
@@ -34,7 +38,7 @@ class Model(NamedTuple):
 
 def buckets(data: np.ndarray) -> np.ndarray:
     """A bucket per byte trigram."""
-    x = textnp.LOWER[data].astype(np.uint32)
+    x = LETTERS[data].astype(np.uint32)
     x = x[:-2] << 16 | x[1:-1] << 8 | x[2:]
     return (x * np.uint32(0x9E3779B1)) >> np.uint32(16)
 
