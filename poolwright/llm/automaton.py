@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from poolwright.llm import textnp
 
@@ -68,7 +68,9 @@ class Tokens:
         return np.searchsorted(owner, np.arange(parts + 1, dtype=np.uint64))
 
 
-def _requests(batch: pa.Table, parts: int) -> pa.Table:
+def _requests(batch: pa.Table, owner: list[int]) -> pa.Table:
+    """A row for each part: ``turn`` is its place in hash order."""
+    parts = len(owner)
     t = Tokens(batch.column("text"))
     train = np.repeat(~batch.column("held_out").to_numpy(), t.sizes).astype(np.float64)
     rows = {k: [] for k in ("words", "word_counts", "pairs", "pair_counts")}
@@ -78,7 +80,7 @@ def _requests(batch: pa.Table, parts: int) -> pa.Table:
             rows[f"{name}s"].append(_pack(distinct[a:b], "<u8"))
             rows[f"{name}_counts"].append(_pack(counts[a:b], "<u4"))
     number = batch.column("batch")[0].as_py()
-    return pa.table({"part": pa.array(range(parts), pa.int64()), "batch": pa.array([number] * parts, pa.int64()), **{k: pa.array(v, pa.binary()) for k, v in rows.items()}})
+    return pa.table({"part": pa.array(owner, pa.int64()), "turn": pa.array(range(parts), pa.int64()), "batch": pa.array([number] * parts, pa.int64()), **{k: pa.array(v, pa.binary()) for k, v in rows.items()}})
 
 
 def _replies(rows: pa.Table) -> pa.Table:
@@ -93,12 +95,12 @@ def _replies(rows: pa.Table) -> pa.Table:
         at = np.cumsum([0, *map(len, asked)])
         out[f"{name}_sums"] = [_pack(sums[inverse[a:b]], "<u8") for a, b in zip(at[:-1], at[1:], strict=True)]
     n = rows.num_rows
-    return pa.table({"batch": rows.column("batch"), "part": rows.column("part"), **{k: pa.array(v, pa.binary()) for k, v in out.items()}, "n": pa.array([facts["word"][0]] * n), "v": pa.array([facts["word"][1]] * n)})
+    return pa.table({"batch": rows.column("batch"), "turn": rows.column("turn"), **{k: pa.array(v, pa.binary()) for k, v in out.items()}, "n": pa.array([facts["word"][0]] * n), "v": pa.array([facts["word"][1]] * n)})
 
 
 def _score(batch: pa.Table, replies: pa.Table, weight: float) -> pa.Table:
     t = Tokens(batch.column("text"))
-    replies = replies.sort_by("part")
+    replies = replies.sort_by("turn")
     sums = {name: np.concatenate([_unpack(x, "<u8") for x in replies.column(f"{name}_sums").to_pylist()]).astype(np.float64) for name in ("word", "pair")}
     n, v = sum(replies.column("n").to_pylist()), sum(replies.column("v").to_pylist())
     root = (sums["word"] + 0.5) / (n + 0.5 * (v + 1))
@@ -117,6 +119,14 @@ def _score(batch: pa.Table, replies: pa.Table, weight: float) -> pa.Table:
     })
 
 
+def apart(spark: SparkSession, n: int) -> list[int]:
+    """``n`` numbers that hash partitioning by ``n`` sends to different
+    partitions, so that no task gets several batches while others get none."""
+    tried = n * (16 + 2 * n.bit_length())
+    found = spark.range(tried).groupBy(F.pmod(F.hash("id"), F.lit(n)).alias("at")).agg(F.min("id").alias("id")).orderBy("at").collect()
+    return [r["id"] for r in found] if len(found) == n else list(range(n))
+
+
 def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", held_out: Column | None = None, weight: float = K, batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for
     every row; rows that are not held out are the training texts.
@@ -130,10 +140,12 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     size = docs.agg(F.sum(F.octet_length(text_col) + 16)).first()[0] or 0
     batches = max(1, -(-size // batch_bytes))
     parts = max(1, batches // BATCHES_A_PART)
+    number = F.lit(apart(docs.sparkSession, batches))
+    owner = apart(docs.sparkSession, parts)
     dealt = docs.select(
         F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"),
-        F.pmod(F.xxhash64(id_col, text_col), F.lit(batches)).alias("batch")).repartition(batches, "batch")
-    asked = dealt.groupBy("batch").applyInArrow(lambda t: _requests(t, parts), "part long, batch long, words binary, word_counts binary, pairs binary, pair_counts binary")
-    told = asked.repartition(parts, "part").groupBy("part").applyInArrow(_replies, "batch long, part long, word_sums binary, pair_sums binary, n long, v long")
+        F.element_at(number, (F.pmod(F.xxhash64(id_col, text_col), F.lit(batches)) + 1).cast("int")).cast("long").alias("batch")).repartition(batches, "batch")
+    asked = dealt.groupBy("batch").applyInArrow(lambda t: _requests(t, owner), "part long, turn long, batch long, words binary, word_counts binary, pairs binary, pair_counts binary")
+    told = asked.repartition(parts, "part").groupBy("part").applyInArrow(_replies, "batch long, turn long, word_sums binary, pair_sums binary, n long, v long")
     schema = f"doc_id {docs.schema[id_col].dataType.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return dealt.groupBy("batch").cogroup(told.repartition(batches, "batch").groupBy("batch")).applyInArrow(lambda a, b: _score(a, b, weight), schema)
