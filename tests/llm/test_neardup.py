@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from poolwright.llm import graph, neardup
+from poolwright.llm import graph, neardup, stage
 
 
 def shingles(text):
@@ -65,7 +65,7 @@ def test_crowds_branch_and_end_in_a_grid(spark, monkeypatch):
     """Nodes that do not shrink: small bounds force blocks, levels and grid."""
     monkeypatch.setattr(neardup, "NODE", 8)
     monkeypatch.setattr(neardup, "DEPTH", 2)
-    monkeypatch.setattr(neardup, "BROADCAST_IDS", 3)
+    monkeypatch.setattr(stage, "BROADCAST_IDS", 3)
     rows = corpus(5, 160)
     assert found(neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), percent=80)) == brute(rows, 80)
 
