@@ -34,7 +34,7 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The sampled documents with dimensions, tokens and probability; no text."""
-    return mixing.calibrate(docs).where("sampled").drop("sampled")
+    return mixing.calibrate(docs, fill=True).where("sampled").drop("sampled")
 
 
 STAGES = [

@@ -4,6 +4,10 @@ Tokens are summed per cell (source, language, topic).  The cells' weights are
 raked to each marginal in turn until all hold, and a document is sampled with
 the calibrated probability of its cell, so the sample's expected tokens have
 the target marginals.  Only the table of cells is iterated on.
+
+Where a cell would need more tokens than it has, either the whole sample
+shrinks until none does, or (``fill``) that cell is taken whole and the others
+make up for it, so one rare cell does not decide the size of the sample.
 """
 
 from collections.abc import Mapping
@@ -46,20 +50,60 @@ def shares(cells: DataFrame, dim: str, target: Mapping[str, float] | float) -> D
     return seen.select(dim, (F.col("wish") / total).alias("target"))
 
 
-def rake(cells: DataFrame, targets: Mapping[str, Mapping[str, float] | float], *, tolerance: float = 1e-11, sweeps: int = 40) -> DataFrame:
+def filled(rows: DataFrame, want: str, have: str, total: float) -> float:
+    """The scale x at which the sum of least(``have``, x * ``want``) is
+    ``total``, or infinity if all of ``have`` is no more than that.
+
+    Newton steps on a concave function from below: each makes at least one more
+    row reach its ``have``, or is the last.
+    """
+    scale, full = 0.0, -1
+    while True:
+        over = (F.col(want) > 0) & (F.col(want) * F.lit(scale) >= F.col(have))
+        r = rows.agg(F.count_if(over), F.sum(F.when(over, F.col(have)).otherwise(0.0)), F.sum(F.when(over, 0.0).otherwise(F.col(want)))).first()
+        if not r[2]:
+            return float("inf")
+        if r[0] <= full:
+            return scale
+        scale, full = (total - r[1]) / r[2], r[0]
+
+
+def goals(cells: DataFrame, dim: str, target: Mapping[str, float] | float, budget: float) -> DataFrame:
+    """dim, target: shares of ``budget`` tokens, none above what its value has.
+
+    A value that a mapping leaves out has its observed share; the named ones
+    divide the rest.  What a value lacks goes to the others in proportion.
+    """
+    seen = cells.groupBy(dim).agg(F.sum("tokens").cast("double").alias("x"))
+    if isinstance(target, Mapping):
+        named = F.coalesce(*(F.when(F.col(dim) == k, F.lit(float(v))) for k, v in target.items()), F.lit(None).cast("double"))
+        seen = seen.withColumn("v", named)
+        has, x = seen.agg(F.sum("v"), F.sum(F.when(F.col("v").isNotNull(), F.col("x")))).first()
+        seen = seen.withColumn("wish", F.coalesce(F.col("v") * F.lit((x or 0.0) / (has or 1.0)), F.col("x")))
+    else:
+        seen = seen.withColumn("wish", F.pow(F.col("x"), F.lit(float(target))))
+    seen = materialize(seen)
+    scale = filled(seen, "wish", "x", budget)
+    return seen.select(dim, (F.when(F.col("wish") > 0, F.least(F.col("x"), F.col("wish") * F.lit(scale))).otherwise(0.0) / budget).alias("target"))
+
+
+def rake(cells: DataFrame, targets: Mapping[str, Mapping[str, float] | float], *, budget: float | None = None, tolerance: float = 1e-11, sweeps: int = 40) -> DataFrame:
     """``cells`` (dimensions, tokens > 0) with ``weight``, of sum 1, whose sums
     per value are the targets to within ``tolerance`` or as near as the cells
     that exist allow after ``sweeps``.  No cells: no rows.
 
-    Each step reads the cells twice, so it is written before the next one.
+    With a ``budget`` of tokens a cell counts up to the share that it can fill,
+    and targets are ``goals``.  Each step reads the cells twice, so it is
+    written before the next one.
     """
-    wished = {d: materialize(shares(cells, d, t)) for d, t in targets.items()}
+    wished = {d: materialize(shares(cells, d, t) if budget is None else goals(cells, d, t, budget)) for d, t in targets.items()}
     total = cells.agg(F.sum("tokens")).first()[0] or 1
     cells = cells.withColumn("weight", F.col("tokens") / F.lit(float(total)))
+    counted = F.col("weight") if budget is None else F.least(F.col("weight"), F.col("tokens") / F.lit(budget))
     for _ in range(sweeps):
         cells = cells.withColumn("_off", F.lit(0.0))
         for d, wish in wished.items():
-            sums = cells.groupBy(d).agg(F.sum("weight").alias("_sum")).join(wish, d).select(d, (F.col("target") / F.col("_sum")).alias("_factor"))
+            sums = cells.groupBy(d).agg(F.sum(counted).alias("_sum")).join(wish, d).select(d, F.when(F.col("_sum") > 0, F.col("target") / F.col("_sum")).otherwise(0.0).alias("_factor"))
             cells = materialize(cells.join(sums, d).withColumns({"weight": F.col("weight") * F.col("_factor"), "_off": F.greatest("_off", F.abs(F.col("_factor") - 1))}).drop("_factor"))
         off = cells.agg(F.max("_off")).first()[0] or 0.0
         cells = cells.drop("_off")
@@ -75,20 +119,29 @@ def draw(doc_id: Column, seed: str) -> Column:
 
 
 def calibrate(docs: DataFrame, *, targets: Mapping[str, Mapping[str, float] | float] | None = None, id_col: str = "doc_id", text_col: str = "text",
-              dims: Mapping[str, Column] | None = None, keep: float = 0.5, seed: str = "mix") -> DataFrame:
+              dims: Mapping[str, Column] | None = None, keep: float = 0.5, seed: str = "mix", fill: bool = False) -> DataFrame:
     """Every row: doc_id, dimensions, n_tokens, probability, sampled.
 
-    Expected tokens are the share ``keep`` of all, or less where a cell would
-    need more tokens than it has: no document is taken twice.  Rows without
-    tokens have the probability 0.  Rows with one id share their draw.
+    No document is taken twice.  Expected tokens are the share ``keep`` of all,
+    or less where a cell would need more tokens than it has.  With ``fill`` they
+    are ``keep`` of all even then: such a cell is taken whole, values that a
+    target leaves out keep their observed share, the marginals are as near as
+    that allows, and probabilities are not rounded.  Rows without tokens have
+    the probability 0.  Rows with one id share their draw.
     """
     targets = targets or TARGETS
     rows = materialize(weigh(docs, id_col=id_col, text_col=text_col, dims=dims))
     dims_ = list(targets)
     cells = materialize(rows.where("n_tokens > 0").groupBy(*dims_).agg(F.sum("n_tokens").alias("tokens")))
-    raked = rake(cells, targets)
-    bound = raked.agg(F.sum("tokens").alias("all"), F.min(F.col("tokens") / F.col("weight")).alias("most")).first()
-    budget = min(keep * float(bound["all"]), float(bound["most"])) if bound["all"] else 0.0
-    chance = raked.select(*dims_, F.least(F.lit(1.0), F.col("weight") * budget / F.col("tokens")).alias("probability"))
-    out = rows.join(chance, dims_, "left").withColumn("probability", F.when(F.col("n_tokens") > 0, F.round("probability", 6)).otherwise(0.0))
+    if fill:
+        budget = keep * float(cells.agg(F.sum("tokens")).first()[0] or 0)
+        raked = rake(cells, targets, budget=budget, tolerance=1e-7) if budget else cells.withColumn("weight", F.lit(0.0))
+        scale = filled(raked, "weight", "tokens", budget)
+        chance = raked.select(*dims_, F.when(F.col("weight") > 0, F.least(F.lit(1.0), F.col("weight") * F.lit(scale) / F.col("tokens"))).otherwise(0.0).alias("probability"))
+    else:
+        raked = rake(cells, targets)
+        bound = raked.agg(F.sum("tokens").alias("all"), F.min(F.col("tokens") / F.col("weight")).alias("most")).first()
+        budget = min(keep * float(bound["all"]), float(bound["most"])) if bound["all"] else 0.0
+        chance = raked.select(*dims_, F.round(F.least(F.lit(1.0), F.col("weight") * budget / F.col("tokens")), 6).alias("probability"))
+    out = rows.join(chance, dims_, "left").withColumn("probability", F.when(F.col("n_tokens") > 0, F.col("probability")).otherwise(0.0))
     return out.withColumn("sampled", draw(F.col("doc_id"), seed) < F.col("probability"))

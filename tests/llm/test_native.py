@@ -157,6 +157,25 @@ def test_mixing_messy(messy, empty):
     assert sorted(map(repr, mixing.calibrate(messy).collect())) == sorted(map(repr, out.collect()))
 
 
+def test_a_rare_cell_does_not_shrink_the_sample(spark):
+    rnd = random.Random(5)
+    rows = [(i, "w " * rnd.randint(1, 30), rnd.choice(["en", "en", "en", "de"]), rnd.choice(["a", "a", "b"])) for i in range(1000)]
+    rows += [(5000, "w " * 20, None, "a"), (5001, "w " * 3, "de", "rare")]
+    dims = {"source": F.col("source"), "lang": F.col("lang")}
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    out = mixing.calibrate(docs, targets={"source": {"a": 0.4, "b": 0.4, "rare": 0.2}, "lang": {"en": 0.6, "de": 0.4}}, dims=dims, fill=True).collect()
+    mass, every = Counter(), sum(r["n_tokens"] for r in out)
+    for r in out:
+        mass[r["source"]] += r["n_tokens"] * r["probability"]
+        mass[r["lang"]] += r["n_tokens"] * r["probability"]
+        assert 0 < r["probability"] <= 1
+    assert mass["a"] + mass["b"] + mass["rare"] == pytest.approx(0.5 * every, rel=1e-6)
+    assert mass["rare"] == pytest.approx(3) and mass["und"] == pytest.approx(10, rel=1e-3)
+    assert mass["b"] / mass["a"] == pytest.approx(1, rel=1e-3) and mass["en"] / mass["de"] == pytest.approx(1.5, rel=1e-3)
+    assert all(r["probability"] > 0 for r in mixing.calibrate(docs, dims=dims, targets={"source": 1.0, "lang": 1.0}, keep=1e-8, fill=True).collect())
+    assert mixing.calibrate(docs.limit(0), fill=True).count() == 0
+
+
 # --- URL filters -----------------------------------------------------------------
 
 def plain_parts(url):
