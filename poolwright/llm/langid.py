@@ -19,14 +19,17 @@ from poolwright.llm.stage import materialize, without
 
 BUCKETS = 1 << 16
 #: At most so many declared texts of a language are expected in the sample
-#: that fits the text model, and so many languages are modelled.
-SAMPLE, LANGUAGES = 1500, 32
+#: that fits the text model; every declared language is modelled, so many of
+#: them counted at a time.
+SAMPLE, BLOCK = 1500, 32
 #: Trigrams of a text depend on each other: its log-likelihood counts so much.
 TEMPER = 0.3
 #: Letters in lower case; every other ASCII byte is a space, so numbers, codes
 #: and markup say nothing of a language.
 LETTERS = textnp.LOWER.copy()
 LETTERS[[i for i in range(128) if not chr(i).isalpha()]] = 32
+#: A language code, with script, region or more after it.
+TAG = r"^([A-Za-z]{2,3})(?:[-_](?:[A-Za-z]{2}|[A-Za-z]{4}|[0-9]{3})(?:[-_].*)?)?$"
 #: Pseudo-counts: of a level above in a prior, of each cell in a confusion.
 PRIOR, CELL = 20.0, 1.0
 
@@ -43,32 +46,50 @@ def buckets(data: np.ndarray) -> np.ndarray:
     return (x * np.uint32(0x9E3779B1)) >> np.uint32(16)
 
 
+def tongue(tag: Column) -> Column:
+    """The language of a declared value: codes of two or three letters in lower
+    case, without script or region (en-US, EN: en); other values as they are."""
+    return F.when(F.regexp_like(tag, F.lit(TAG)), F.lower(F.regexp_extract(tag, TAG, 1))).otherwise(tag)
+
+
 def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Model:
-    """Trigram shares of each declared language in a sample by id hash."""
-    rows = docs.select(F.col(id_col).alias("i"), F.col(lang_col).cast("string").alias("l"), F.col(text_col).alias("t")).where("l is not null and t is not null")
-    sizes = rows.groupBy("l").count().orderBy(F.desc("count"), "l").limit(LANGUAGES).collect()
-    languages = sorted(r["l"] for r in sizes)
+    """Trigram shares of every declared language in a sample by id hash."""
+    rows = docs.select(F.col(id_col).alias("i"), tongue(F.col(lang_col).cast("string")).alias("l"), F.col(text_col).alias("t")).where("l is not null and t is not null")
+    sizes = {r["l"]: r["count"] for r in rows.groupBy("l").count().collect()}
+    languages = sorted(sizes)
     if not languages:
         return Model([], np.zeros((BUCKETS, 0), np.float32))
     space = 1 << 40
-    share = F.coalesce(*(F.when(F.col("l") == r["l"], F.lit(min(space, space * sample // r["count"]))) for r in sizes))
-    rows = rows.where(F.pmod(F.xxhash64("i"), F.lit(space)) < share).select("l", "t").repartition(8)
+    share = docs.sparkSession.createDataFrame([(x, k, min(space, space * sample // sizes[x])) for k, x in enumerate(languages)], "l string, k int, share long")
+    rows = rows.join(F.broadcast(share), "l").where(F.pmod(F.xxhash64("i"), F.lit(space)) < F.col("share")).select("k", "t")
+    if len(languages) > BLOCK:
+        rows = materialize(rows)
+    log_p = np.empty((BUCKETS, len(languages)), np.float32)
+    for first in range(0, len(languages), BLOCK):
+        some = slice(first, min(first + BLOCK, len(languages)))
+        log_p[:, some] = _log_shares(rows.where(F.col("k").between(some.start, some.stop - 1)), some)
+    return Model(languages, log_p)
+
+
+def _log_shares(rows: DataFrame, some: slice) -> np.ndarray:
+    """BUCKETS x languages of a block, from rows (k: number of the language, t)."""
+    first, width = some.start, some.stop - some.start
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((len(languages), BUCKETS), np.int64)
+        sums = np.zeros((width, BUCKETS), np.int64)
         for batch in batches:
-            tongues = np.array([languages.index(x) for x in batch.column(0).to_pylist()])
-            for first, last, data, offsets in textnp.chunks(batch.column(1)):
-                for i in range(first, last):
-                    text = data[offsets[i - first] : offsets[i - first + 1]]
+            tongues = batch.column(0).to_numpy() - first
+            for start, end, data, offsets in textnp.chunks(batch.column(1)):
+                for i in range(start, end):
+                    text = data[offsets[i - start] : offsets[i - start + 1]]
                     if len(text) > 2:
                         sums[tongues[i]] += np.bincount(buckets(text), minlength=BUCKETS)
         yield pa.RecordBatch.from_arrays([pa.array([sums.astype("<i8").tobytes()])], ["sums"])
 
-    parts = rows.mapInArrow(count, "sums binary").collect()  # a table of fixed size from each of 8 tasks
-    sums = sum(np.frombuffer(r["sums"], "<i8").reshape(len(languages), BUCKETS) for r in parts)
+    parts = rows.repartition(8).mapInArrow(count, "sums binary").collect()  # a table of fixed size from each of 8 tasks
+    sums = sum(np.frombuffer(r["sums"], "<i8").reshape(width, BUCKETS) for r in parts)
     p = (sums + 0.05) / (sums + 0.05).sum(1, keepdims=True)
-    return Model(languages, np.ascontiguousarray(np.log(p).T.astype(np.float32)))
+    return np.log(p).T.astype(np.float32)
 
 
 def text_scores(records: DataFrame, model: Model) -> DataFrame:

@@ -266,6 +266,21 @@ def test_langid_messy(spark, messy, empty):
     assert langid.identify(langid.document_records(messy), none).where("kept").count() == 0
 
 
+def test_every_declared_language_is_modelled(spark):
+    rnd = random.Random(7)
+    tongues = [f"{a}{b}" for a in "abcdefghij" for b in "klmnop"][:40]
+    words = {x: ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(12)] for x in tongues}
+    words[tongues[-1]] = ["".join(chr(rnd.randint(0x10A0, 0x10F0)) for _ in range(6)) for _ in range(12)]
+    text = lambda x: " ".join(rnd.choice(words[x]) for _ in range(60))
+    rows = [(100 * k + i, text(x), [x, x.upper(), f"{x}-US"][i % 3] if k % 2 else x, "s") for k, x in enumerate(tongues) for i in range(10 if k < 32 else 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    model = langid.fit(docs)
+    assert model.languages == sorted(tongues)
+    for r in langid.identify(langid.document_records(docs), model).collect():
+        assert r["kept"] and r["language"] == tongues[r["doc_id"] // 100]
+    assert langid.keep_identified(docs).count() == len(rows)
+
+
 # --- repeated byte strings ----------------------------------------------------------------
 
 def plain_repeats(rows, length=100):
