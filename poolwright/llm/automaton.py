@@ -1,21 +1,23 @@
 """Language-model scoring with a weighted backoff automaton.
 
-States are contexts: the root and one per word.  A word seen after its context
-in training has an arc there; any other word takes the state's failure arc to
-the root, which has an arc for every word.  With c the training counts, N and V
-the number of tokens and of distinct ones, and K a weight,
+States are contexts: the root and each run of up to ``order`` - 1 words.  A word
+seen after its context in training has an arc there; any other word takes the
+state's failure arc to the state u' of the context without its first word, in
+the end to the root, which has an arc for every word.  With c the training
+counts, N and V the number of tokens and of distinct ones, and K a weight,
 
     root arc        p(w)   = (c(w) + 0.5) / (N + 0.5 (V + 1))
-    arc of state u  p(w|u) = (c(u w) + K p(w)) / (c(u) + K)
+    arc of state u  p(w|u) = (c(u w) + K p(w|u')) / (c(u) + K)
     failure arc of u         K / (c(u) + K)
 
 which sums to one over the words of training and one unseen word.  A text is
-read left to right; the state is the last word, and the logarithms add up.
+read left to right; the state is the last words, from the text's begin on, and
+the logarithms add up.
 
 The automaton grows with the corpus and is never in one place.  Texts are dealt
-into batches; a batch sends its distinct words and pairs with their counts to
-the parts that own them, a part returns their counts over all batches, and the
-batch then has the arcs that its texts can take.
+into batches; a batch sends its distinct runs of 1 to ``order`` words with their
+counts to the parts that own them, a part returns their counts over all batches,
+and the batch then has the arcs that its texts can take.
 """
 
 from collections.abc import Iterator
@@ -44,10 +46,11 @@ def _unpack(blob: bytes, kind: str) -> np.ndarray:
 
 
 class Tokens:
-    """The tokens of a batch of texts: words and an end each, their pairs with
-    the token before, and the distinct ones of both in hash order."""
+    """The tokens of a batch of texts: words and an end each.  By length k from
+    1: where the runs of k tokens end (``at``; a run may start with the text's
+    begin), the distinct ones in hash order, and the place of each among them."""
 
-    def __init__(self, texts: pa.ChunkedArray):
+    def __init__(self, texts: pa.ChunkedArray, order: int):
         runs, sizes = [], []
         for _, _, data, offsets in textnp.chunks(texts):
             w = textnp.words(data, offsets)
@@ -56,11 +59,21 @@ class Tokens:
         token = np.concatenate(runs)
         self.sizes = np.concatenate(sizes)
         self.starts = np.concatenate([[0], np.cumsum(self.sizes)[:-1]])
-        before = np.empty_like(token)
-        before[1:], before[self.starts] = token[:-1], np.uint64(BEGIN)
-        pair = textnp.mix(before * textnp.GRAM_HASH[0] + token * textnp.GRAM_HASH[1])
-        self.words, self.word = np.unique(token, return_inverse=True)
-        self.pairs, self.pair = np.unique(pair, return_inverse=True)
+        place = np.arange(len(token)) - np.repeat(self.starts, self.sizes)
+        self.at, self.distinct, self.inverse = [], [], []
+        gram = token
+        for k in range(1, order + 1):
+            if k > 1:
+                before = np.empty_like(gram)
+                before[1:] = gram[:-1]
+                if k == 2:
+                    before[self.starts] = np.uint64(BEGIN)
+                gram = textnp.mix(before * textnp.GRAM_HASH[0] + token * textnp.GRAM_HASH[1])
+            at = np.flatnonzero(place >= k - 2)
+            distinct, inverse = np.unique(gram[at], return_inverse=True)
+            self.at.append(at)
+            self.distinct.append(distinct)
+            self.inverse.append(inverse)
 
     def cuts(self, distinct: np.ndarray, parts: int) -> np.ndarray:
         """Where the hash ranges of the parts begin in sorted hashes."""
@@ -68,26 +81,30 @@ class Tokens:
         return np.searchsorted(owner, np.arange(parts + 1, dtype=np.uint64))
 
 
-def _requests(batch: pa.Table, owner: list[int]) -> pa.Table:
+def _names(order: int) -> list[str]:
+    return [f"run{k}" for k in range(1, order + 1)]
+
+
+def _requests(batch: pa.Table, owner: list[int], order: int) -> pa.Table:
     """A row for each part: ``turn`` is its place in hash order."""
     parts = len(owner)
-    t = Tokens(batch.column("text"))
+    t = Tokens(batch.column("text"), order)
     train = np.repeat(~batch.column("held_out").to_numpy(), t.sizes).astype(np.float64)
-    rows = {k: [] for k in ("words", "word_counts", "pairs", "pair_counts")}
-    for name, distinct, inverse in (("word", t.words, t.word), ("pair", t.pairs, t.pair)):
-        counts, cuts = np.bincount(inverse, train, len(distinct)), t.cuts(distinct, parts)
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            rows[f"{name}s"].append(_pack(distinct[a:b], "<u8"))
-            rows[f"{name}_counts"].append(_pack(counts[a:b], "<u4"))
+    rows = {}
+    for name, at, distinct, inverse in zip(_names(order), t.at, t.distinct, t.inverse, strict=True):
+        counts, cuts = np.bincount(inverse, train[at], len(distinct)), t.cuts(distinct, parts)
+        spans = list(zip(cuts[:-1], cuts[1:], strict=True))
+        rows[name] = [_pack(distinct[a:b], "<u8") for a, b in spans]
+        rows[f"{name}_counts"] = [_pack(counts[a:b], "<u4") for a, b in spans]
     number = batch.column("batch")[0].as_py()
     return pa.table({"part": pa.array(owner, pa.int64()), "turn": pa.array(range(parts), pa.int64()), "batch": pa.array([number] * parts, pa.int64()), **{k: pa.array(v, pa.binary()) for k, v in rows.items()}})
 
 
-def _replies(rows: pa.Table) -> pa.Table:
+def _replies(rows: pa.Table, order: int) -> pa.Table:
     """Counts over all batches, in the order in which each batch asked."""
     out, facts = {}, {}
-    for name in ("word", "pair"):
-        asked = [_unpack(x, "<u8") for x in rows.column(f"{name}s").to_pylist()]
+    for name in _names(order):
+        asked = [_unpack(x, "<u8") for x in rows.column(name).to_pylist()]
         counts = np.concatenate([_unpack(x, "<u4") for x in rows.column(f"{name}_counts").to_pylist()])
         distinct, inverse = np.unique(np.concatenate(asked), return_inverse=True)
         sums = np.bincount(inverse, counts, len(distinct)).astype(np.int64)
@@ -95,27 +112,32 @@ def _replies(rows: pa.Table) -> pa.Table:
         at = np.cumsum([0, *map(len, asked)])
         out[f"{name}_sums"] = [_pack(sums[inverse[a:b]], "<u8") for a, b in zip(at[:-1], at[1:], strict=True)]
     n = rows.num_rows
-    return pa.table({"batch": rows.column("batch"), "turn": rows.column("turn"), **{k: pa.array(v, pa.binary()) for k, v in out.items()}, "n": pa.array([facts["word"][0]] * n), "v": pa.array([facts["word"][1]] * n)})
+    return pa.table({"batch": rows.column("batch"), "turn": rows.column("turn"), **{k: pa.array(v, pa.binary()) for k, v in out.items()}, "n": pa.array([facts["run1"][0]] * n), "v": pa.array([facts["run1"][1]] * n)})
 
 
-def _score(batch: pa.Table, replies: pa.Table, weight: float) -> pa.Table:
-    t = Tokens(batch.column("text"))
+def _score(batch: pa.Table, replies: pa.Table, weight: float, order: int) -> pa.Table:
+    t = Tokens(batch.column("text"), order)
     replies = replies.sort_by("turn")
-    sums = {name: np.concatenate([_unpack(x, "<u8") for x in replies.column(f"{name}_sums").to_pylist()]).astype(np.float64) for name in ("word", "pair")}
+    sums = [np.concatenate([_unpack(x, "<u8") for x in replies.column(f"{name}_sums").to_pylist()]).astype(np.float64) for name in _names(order)]
     n, v = sum(replies.column("n").to_pylist()), sum(replies.column("v").to_pylist())
-    root = (sums["word"] + 0.5) / (n + 0.5 * (v + 1))
-    known, root = sums["word"][t.word], root[t.word]
-    state = np.empty(len(known))
-    state[1:] = known[:-1]
-    state[t.starts] = sums["word"][np.searchsorted(t.words, np.uint64(END))]  # as many texts begin as end
-    arc = sums["pair"][t.pair]
-    failure = np.log10(weight / (state + weight))
-    steps = np.where(arc > 0, np.log10((arc + weight * root) / (state + weight)), failure + np.log10(root))
+    known = sums[0][t.inverse[0]]
+    root = np.log10((known + 0.5) / (n + 0.5 * (v + 1)))
+    steps, context = root.copy(), known
+    for k in range(1, order):
+        state = np.zeros(len(known))
+        state[1:] = context[:-1]
+        if k == 1:
+            state[t.starts] = sums[0][np.searchsorted(t.distinct[0], np.uint64(END))]  # as many texts begin as end
+        at, arc = t.at[k], np.zeros(len(known))
+        arc[at] = sums[k][t.inverse[k]]
+        seen, lower = state[at], steps[at]
+        steps[at] = np.where(arc[at] > 0, np.log10((arc[at] + weight * 10.0**lower) / (seen + weight)), np.log10(weight / (seen + weight)) + lower)
+        context = arc
     add = lambda x: pa.array(np.add.reduceat(x, t.starts))
     return pa.table({
         "doc_id": batch.column("doc_id"), "held_out": batch.column("held_out"), "n_tokens": pa.array(t.sizes),
         "n_known": add((known > 0).astype(np.int64)), "train_tokens": pa.array(np.full(len(t.sizes), n, np.int64)),
-        "base_score": add(np.log10(root)), "score": add(steps),
+        "base_score": add(root), "score": add(steps),
     })
 
 
@@ -127,9 +149,10 @@ def apart(spark: SparkSession, n: int) -> list[int]:
     return [r["id"] for r in found] if len(found) == n else list(range(n))
 
 
-def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", held_out: Column | None = None, weight: float = K, batch_bytes: int = BATCH_BYTES) -> DataFrame:
+def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", held_out: Column | None = None, weight: float = K, batch_bytes: int = BATCH_BYTES, order: int = 2) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for
-    every row; rows that are not held out are the training texts.
+    every row; rows that are not held out are the training texts.  ``order``: the
+    most words of an arc with its context.
 
     Words are split at ASCII white space, A-Z in lower case; a null or empty
     text is its end alone.  Base score: log10 of the root arcs.  A null
@@ -145,7 +168,9 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     dealt = docs.select(
         F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"),
         F.element_at(number, (F.pmod(F.xxhash64(id_col, text_col), F.lit(batches)) + 1).cast("int")).cast("long").alias("batch")).repartition(batches, "batch")
-    asked = dealt.groupBy("batch").applyInArrow(lambda t: _requests(t, owner), "part long, turn long, batch long, words binary, word_counts binary, pairs binary, pair_counts binary")
-    told = asked.repartition(parts, "part").groupBy("part").applyInArrow(_replies, "batch long, turn long, word_sums binary, pair_sums binary, n long, v long")
+    runs = ", ".join(f"{x} binary, {x}_counts binary" for x in _names(order))
+    sums = ", ".join(f"{x}_sums binary" for x in _names(order))
+    asked = dealt.groupBy("batch").applyInArrow(lambda t: _requests(t, owner, order), f"part long, turn long, batch long, {runs}")
+    told = asked.repartition(parts, "part").groupBy("part").applyInArrow(lambda t: _replies(t, order), f"batch long, turn long, {sums}, n long, v long")
     schema = f"doc_id {docs.schema[id_col].dataType.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return dealt.groupBy("batch").cogroup(told.repartition(batches, "batch").groupBy("batch")).applyInArrow(lambda a, b: _score(a, b, weight), schema)
+    return dealt.groupBy("batch").cogroup(told.repartition(batches, "batch").groupBy("batch")).applyInArrow(lambda a, b: _score(a, b, weight, order), schema)

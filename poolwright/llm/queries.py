@@ -29,7 +29,7 @@ def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1
-    return automaton.score_texts(table(spark, sf_dir, "documents"), held_out=held_out)
+    return automaton.score_texts(table(spark, sf_dir, "documents"), held_out=held_out, order=3)
 
 
 def op7_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from poolwright.llm import automaton, decontaminate, langid, licenses, suffixes, textnp
+from poolwright.llm import automaton, decontaminate, langid, licenses, queries, suffixes, textnp
 
 
 def plain_words(text):
@@ -78,6 +78,40 @@ def test_scores(spark, messy, batch_bytes):
         assert g[:5] == w[:5] and g[5:] == pytest.approx(w[5:], abs=1e-9)
 
 
+def plain_backoff(rows, order, k=automaton.K):
+    """Scores by dictionaries of runs, with a begin mark before each text."""
+    trains = lambda i: zlib.crc32(str(i).encode()) % 5 != 1
+    runs, texts = Counter(), [(i, [1, *plain_words(t), 0]) for i, t in rows]
+    for i, w in texts:
+        if trains(i):
+            runs.update(tuple(w[a : a + m]) for m in range(1, order + 1) for a in range(len(w) - m + 1))
+    n, v = sum(c for r, c in runs.items() if len(r) == 1 and r != (1,)), sum(len(r) == 1 and r != (1,) for r in runs)
+
+    def p(u, x):
+        if not u:
+            return (runs[x,] + 0.5) / (n + 0.5 * (v + 1))
+        return (runs[*u, x] + k * p(u[1:], x)) / (runs[u] + k)
+
+    return {i: sum(math.log10(p(tuple(w[max(0, j - order + 1) : j]), w[j])) for j in range(1, len(w))) for i, w in texts}
+
+
+@pytest.mark.parametrize("batch_bytes", [200, 1 << 20])
+def test_longer_contexts(spark, batch_bytes):
+    rnd = random.Random(8)
+    rows = [(i, " ".join(rnd.choice("abcd") for _ in range(rnd.randint(0, 15)))) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for order in (1, 3, 4):
+        got = {r["doc_id"]: r["score"] for r in automaton.score_texts(docs, held_out=held_out(), batch_bytes=batch_bytes, order=order).collect()}
+        assert got == pytest.approx(plain_backoff(rows, order), abs=1e-9)
+
+
+def test_the_query_looks_back_two_words(spark):
+    df = queries.op6_lm_scoring(spark, "/root/testdata/sf0.001")
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    want = plain_backoff([(r["doc_id"], r["text"]) for r in docs.collect()], 3)
+    assert {r["doc_id"]: r["score"] for r in df.collect()} == pytest.approx(want, rel=1e-9)
+
+
 def test_arcs_of_a_state_sum_to_one(spark):
     """Over the words of training and one unseen word, from any state."""
     train = [(0, "a b a c"), (2, "b a")]
