@@ -5,7 +5,7 @@ at most ``CHANCE`` times in the whole corpus is a seed; chance is judged by the
 corpus counts of the words, not of the run, so a leaked passage cannot hide by
 being copied often.  Where a text has seeds of an item, the words around them
 are aligned with the item's words, and the score of the best local alignment
-is set against that of an exact copy.
+is set against that of an exact copy, of the item or of the words it spans.
 """
 
 from collections.abc import Iterator
@@ -18,6 +18,9 @@ from poolwright.llm import textnp
 
 CHANCE, SHORTEST, LONGEST = 1.0, 2, 8
 MATCH, MISMATCH, GAP = 2, -1, -1
+#: An alignment of the score of so many copied words counts in items of any
+#: length, if it has the least share of the score of a copy of its own span.
+ENOUGH = 25
 #: Items go to the tasks in blocks of at most so many words.
 BLOCK_WORDS = 200_000
 FILTER_BITS = 22
@@ -119,7 +122,8 @@ def align(text: np.ndarray, item: np.ndarray) -> tuple[int, int, int]:
 
 def _leaks(w: textnp.Words, seeds: Seeds, block: list[tuple[int, np.ndarray]], least: float) -> Iterator[tuple[int, int, int, int, int]]:
     """(text, item, score, start word, end word) of the best alignment of each
-    text and item that scores at least ``least`` of an exact copy."""
+    text and item that scores at least ``least`` of an exact copy, or as
+    ``ENOUGH`` words and ``least`` of a copy of its span."""
     word, item, offset = seeds.hits(w.hash)
     text = np.searchsorted(w.bounds, word, "right") - 1
     order = np.lexsort((word, item, text))
@@ -136,7 +140,8 @@ def _leaks(w: textnp.Words, seeds: Seeds, block: list[tuple[int, np.ndarray]], l
         lo, hi = max(int(w.bounds[d]), int(word[a]) - 2 * n), min(int(w.bounds[d + 1]), int(word[b - 1]) + 2 * n)
         for at in range(lo, max(lo + 1, hi), 16 * n):  # long clusters in pieces that overlap by more than an alignment spans
             score, start, end = align(w.hash[at : min(hi, at + 20 * n)], block[t][1])
-            if score >= least * MATCH * n and (-score, at + start) < best.get((d, t), (1, 0, 0)):
+            long_enough = score >= MATCH * ENOUGH and score >= least * MATCH * (end - start)
+            if (score >= least * MATCH * n or long_enough) and (-score, at + start) < best.get((d, t), (1, 0, 0)):
                 best[d, t] = (-score, at + start, at + end)
     for (d, t), (score, start, end) in best.items():
         yield d, t, -score, start - int(w.bounds[d]), end - int(w.bounds[d])
@@ -145,7 +150,8 @@ def _leaks(w: textnp.Words, seeds: Seeds, block: list[tuple[int, np.ndarray]], l
 def find_leaks(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", least: float = 0.4) -> DataFrame:
     """doc_id, item_id, score, full_score (of an exact copy), start_word,
     end_word for each document and item with a score of at least the share
-    ``least`` of the full one; of equal ones the first place in the text.
+    ``least`` of the full one, or with the score of ``ENOUGH`` words and that
+    share of a copy of its span; of equal ones the first place in the text.
 
     Null or empty texts and items match nothing; repeated rows of documents
     each give theirs, items that repeat an id each theirs.  Benchmark blocks

@@ -243,6 +243,18 @@ def test_a_passage_in_most_texts_is_still_found(spark):
     assert {r["doc_id"] for r in got.collect()} == set(range(400))
 
 
+def test_excerpts_of_long_items(spark):
+    """Copied words count however little of the item they are."""
+    rnd = random.Random(9)
+    word = lambda: rnd.choice(["the", "of", "and", "in", "to"]) if rnd.random() < 0.3 else f"v{rnd.randrange(3000)}"
+    item = [word() for _ in range(400)]
+    copied = {0: 150, 1: 100, 2: 40, 3: 12}
+    docs = [(d, " ".join([word() for _ in range(200)] + item[90 : 90 + copied.get(d, 0)] + [word() for _ in range(200)])) for d in range(60)]
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    assert {r["doc_id"] for r in decontaminate.find_leaks(df, bench).collect()} == {0, 1, 2}
+    assert {r["doc_id"] for r in decontaminate.drop_leaks(df, bench).collect()} == set(range(3, 60))
+
+
 def test_blocks_of_items(spark, monkeypatch):
     docs, items, _ = leak_corpus()
     df, bench = spark.createDataFrame(docs[:80], "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
