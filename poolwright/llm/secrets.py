@@ -38,6 +38,11 @@ MORE = (
     Rule("slack", 1, r"xox[abprs]-[A-Za-z0-9-]{10,}"),
 )
 RULES = BASE + MORE
+#: For redaction a private key runs to its END line, or without one over the
+#: key's headers and base64 lines that follow, their breaks as written or escaped.
+KEY = Rule("pem", 2, MORE[0].pattern + r"(?:(?:[^-]++|-(?!----)){0,400}+-----END [A-Z ]{0,40}PRIVATE KEY-----"
+           r"|(?:\s*+(?:Proc-Type|DEK-Info):[^\n]*+){0,4}+(?:(?:(?:\s|\\[rn])*+[A-Za-z0-9+/]{16,}+={0,2}+){1,400}+(?:(?:\s|\\[rn])*+[A-Za-z0-9+/]{1,15}+={1,2}+)?)?)")
+REDACTED = tuple(KEY if r.kind == "pem" else r for r in RULES)
 
 SPAN = "array<struct<start:int,end:int>>"
 SCANNED = f"array<struct<kind:string,version:int,spans:{SPAN}>>"
@@ -141,8 +146,9 @@ def redacted(text: Column, found: Column) -> Column:
 
 
 def redact(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
-    """All rows of ``docs``, columns as before, secrets in the text redacted."""
-    found = findings(materialize(scan(docs, text_col=text_col)))
+    """All rows of ``docs``, columns as before, secrets in the text redacted,
+    private keys with their bodies."""
+    found = findings(materialize(scan(docs, text_col=text_col, rules=REDACTED)), REDACTED)
     held = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col(text_col).alias("_text"))
     out = by_path(held, found, text_col="_text").withColumn("_text", redacted(F.col("_text"), F.col("found")))
     return out.select(*(F.col("_text").alias(c) if c == text_col else F.col(f"_row.`{c}`").alias(c) for c in docs.columns))

@@ -128,6 +128,22 @@ def test_redaction_and_messy(spark, messy, empty):
     assert secrets.redact(overlap).first()["text"] == "x [assign] y"
 
 
+def test_redaction_of_whole_keys(spark):
+    lines = ["MIIEpAIBAAKCAQEA" + "b+/9" * 12 for _ in range(30)]
+    head, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    body = "\n".join([*lines, "QUJD="])
+    texts = {
+        f"a-b {head}\n{body}\n{end} tail": "a-b [pem] tail",
+        f"a {head}\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00FF\n\n{body}\n{end}\nb {head}\n{body}\n{end}": "a [pem]\nb [pem]",
+        f"cut {head}\n{body}\nplain words after it - and on": "cut [pem]\nplain words after it - and on",
+        f"two {head}\n{body}\nof them {head}\r\n{lines[0]}\r\n{end}": "two [pem]\nof them [pem]",
+        f'json "{head}' + "\\n" + "\\n".join(lines) + f'\\n{end}"': 'json "[pem]"',
+        f"bare {head} and text " + "- x " * 5000: "bare [pem] and text " + "- x " * 5000,
+    }
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"]: r["text"] for r in secrets.redact(docs).collect()} == dict(enumerate(texts.values()))
+
+
 # --- mixing -------------------------------------------------------------------
 
 def test_marginals_hold(spark):
