@@ -5,7 +5,8 @@ stride.  A template lies wholly in some window of its scale, of which it makes
 up at least a quarter, so with 64 bands of one row a template of which 80 % is
 there shares a band with probability at least 1 - 0.8**64 > 0.9999993.  Every
 window so found is verified by the exact share of the template's shingles that
-the text has around it.
+the text has around it.  Templates of under four shingles, which make up less of a
+window, are sought by their shingles themselves.
 """
 
 from collections.abc import Iterator
@@ -17,6 +18,8 @@ from pyspark.sql import DataFrame
 from poolwright.llm import textnp
 
 BANDS, SHINGLE = 64, 5
+#: The shortest stride; templates of fewer shingles are looked up directly.
+STRIDE = 4
 
 # License notices, by SPDX identifier.
 TEMPLATES = (
@@ -63,8 +66,8 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tem
     for i, (name, text) in enumerate(templates):
         grams = _template(text)
         if len(grams):
-            stride = 4
-            while stride < len(grams):
+            stride = STRIDE if len(grams) >= STRIDE else 0
+            while 0 < stride < len(grams):
                 stride *= 2
             index.setdefault(stride, []).append((i, name, grams, min_hashes(grams, len(grams))[0]))
     largest = max(index, default=0)
@@ -90,22 +93,29 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tem
             columns = [batch.column(0).take(pa.array([r[0] for r in hits], pa.int64())), pa.array([r[1] for r in hits], pa.string())]
             yield pa.RecordBatch.from_arrays(columns + [pa.array([r[k] for r in hits], pa.int64()) for k in (3, 4, 5, 6)], ["doc_id", "license", "n_found", "n_template", "first_word", "last_word"])
 
+    def _around(first: int, w: textnp.Words, all_: np.ndarray, a: int, b: int, i: int, name: str, grams: np.ndarray) -> list[tuple]:
+        rows = []
+        for d in range(int(np.searchsorted(w.bounds, a, "right")) - 1, int(np.searchsorted(w.bounds, b, "left"))):
+            lo, hi = max(a - len(grams), int(w.bounds[d])), min(b + len(grams), int(w.bounds[d + 1]) - SHINGLE + 1)
+            if hi > lo:
+                at = np.flatnonzero(np.isin(all_[lo:hi], grams))
+                n = len(np.unique(all_[lo:hi][at]))
+                if n >= least * len(grams):
+                    rows.append((first + d, name, i, n, len(grams), int(lo + at[0] - w.bounds[d]), int(lo + at[-1] - w.bounds[d]) + SHINGLE - 1))
+        return rows
+
     def _long(first: int, w: textnp.Words, all_: np.ndarray) -> list[tuple]:
         """Windows may lie across texts; verification keeps to each text."""
-        rows, stride = [], 4
+        rows, stride = [], STRIDE
+        for i, name, grams, _ in index.get(0, ()):
+            for k in np.flatnonzero(np.isin(all_, grams)).tolist():
+                rows += _around(first, w, all_, k, k + 1, i, name, grams)
         mins = min_hashes(all_, stride)
         while stride <= largest:
             windows = np.minimum(mins, np.vstack([mins[1:], mins[-1:]]))
             for i, name, grams, sought in index.get(stride, ()):
-                for k in np.flatnonzero((windows == sought).any(1)):
-                    a, b = int(k) * stride, min((int(k) + 2) * stride, len(all_))
-                    for d in range(int(np.searchsorted(w.bounds, a, "right")) - 1, int(np.searchsorted(w.bounds, b, "left"))):
-                        lo, hi = max(a - len(grams), int(w.bounds[d])), min(b + len(grams), int(w.bounds[d + 1]) - SHINGLE + 1)
-                        if hi > lo:
-                            at = np.flatnonzero(np.isin(all_[lo:hi], grams))
-                            n = len(np.unique(all_[lo:hi][at]))
-                            if n >= least * len(grams):
-                                rows.append((first + d, name, i, n, len(grams), int(lo + at[0] - w.bounds[d]), int(lo + at[-1] - w.bounds[d]) + SHINGLE - 1))
+                for k in np.flatnonzero((windows == sought).any(1)).tolist():
+                    rows += _around(first, w, all_, k * stride, min((k + 2) * stride, len(all_)), i, name, grams)
             stride *= 2
             mins = np.minimum(mins[::2], np.vstack([mins[1::2], mins[-1:]])[: len(mins[::2])])
         return rows

@@ -174,6 +174,14 @@ def test_licenses_in_any_place(spark):
         assert any(n == name and len(shingles(plain_license_words(t)) & shingles(plain_license_words(rows[i][1]))) >= 0.8 * len(shingles(plain_license_words(t))) for n, t in licenses.TEMPLATES)
 
 
+def test_short_templates_are_never_missed(spark, monkeypatch):
+    """Even where no window's minima meet the template's."""
+    monkeypatch.setattr(licenses, "min_hashes", lambda grams, stride: np.full((-(-len(grams) // stride), 64), len(grams) == stride, np.uint32))
+    docs = [(i, " ".join(f"x{i}y{k}" for k in range(i)) + " Released under the MIT License " + "tail " * 30) for i in range(20)]
+    got = licenses.scan(spark.createDataFrame(docs, "doc_id long, text string")).where("license = 'MIT'").collect()
+    assert sorted((r["doc_id"], r["first_word"], r["last_word"]) for r in got) == [(i, i, i + 4) for i in range(20)]
+
+
 def test_licenses_messy(spark, messy, empty):
     assert licenses.scan(messy).count() == 0 and licenses.scan(empty).count() == 0
     rows = [(1, "Released under the MIT License."), (1, "Released under the MIT License."), (2, "x Licensed\nunder CC-BY NC 4.0 y"), (3, "the MIT License"), (None, "Released under the MIT License")]
