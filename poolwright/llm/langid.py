@@ -15,7 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from poolwright.llm import textnp
-from poolwright.llm.stage import materialize, without
+from poolwright.llm.graph import join_by_key
+from poolwright.llm.stage import PLACE, materialize, placed, without
 
 BUCKETS = 1 << 16
 #: At most so many declared texts of a language are expected in the sample
@@ -160,8 +161,12 @@ def identify(records: DataFrame, model: Model, *, least: float = 0.6) -> DataFra
     Rejected are texts without three bytes, texts that every language finds
     less likely than random bytes, and those whose posterior is under ``least``.
     Without a model (no declared text at all) every row is rejected.  Repeated
-    rows count as often as they occur.
+    rows count as often as they occur.  Evidence is joined to the distinct
+    (host, declared, suffix), and these to the records, of which one may hold a
+    large part.  Columns called n_bytes, ll, text_lang, language, posterior or
+    kept are dropped first.
     """
+    records = records.drop("n_bytes", "ll", "text_lang", "language", "posterior", "kept")
     langs = model.languages
     if not langs:
         return records.select("*", F.lit(0).cast("long").alias("n_bytes"), F.lit(None).cast("string").alias("language"), F.lit(0.0).alias("posterior"), F.lit(False).alias("kept")).drop("text")
@@ -170,12 +175,17 @@ def identify(records: DataFrame, model: Model, *, least: float = 0.6) -> DataFra
     clear = (F.col("n_bytes") >= 20) & (F.array_max("ll") > F.lit(-np.log(BUCKETS)) * F.col("n_bytes"))
     scored = materialize(scored.withColumn("text_lang", F.when(clear, F.element_at(names, F.array_position("ll", F.array_max("ll")).cast("int")))))
     priors, whole = _host_priors(scored, langs)
-    out = scored.join(priors, "host", "left").join(_confusion(scored, "declared", langs), "declared", "left").join(_confusion(scored, "suffix", langs), "suffix", "left")
+    known = ["host", "declared", "suffix"]
+    seen = scored.select(*known).distinct()
+    seen = seen.join(priors, "host", "left").join(_confusion(scored, "declared", langs), "declared", "left").join(_confusion(scored, "suffix", langs), "suffix", "left")
     ones = F.array(*(F.lit(1.0) for _ in langs))
-    fused = F.transform("ll", lambda x: x * TEMPER)
-    for evidence in (F.coalesce("prior", F.array(*map(F.lit, whole))), F.coalesce("declared_p", ones), F.coalesce("suffix_p", ones)):
-        fused = F.zip_with(fused, evidence, lambda a, p: a + F.ln(p))
-    out = out.withColumn("_f", fused).withColumn("_m", F.array_max("_f"))
+    told = F.transform(F.coalesce("prior", F.array(*map(F.lit, whole))), F.ln)
+    for evidence in (F.coalesce("declared_p", ones), F.coalesce("suffix_p", ones)):
+        told = F.zip_with(told, evidence, lambda a, p: a + F.ln(p))
+    key = F.to_json(F.struct(*known)).alias("_known")  # null fields are left out, so no two are alike
+    told = materialize(seen.select(key, told.alias("_told")))
+    out = join_by_key(scored.select("*", key), told, "_known")
+    out = out.withColumn("_f", F.zip_with(F.transform("ll", lambda x: x * TEMPER), "_told", lambda a, p: a + p)).withColumn("_m", F.array_max("_f"))
     share = 1 / F.aggregate("_f", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("_m")))
     out = out.withColumn("language", F.element_at(names, F.array_position("_f", F.col("_m")).cast("int"))).withColumn("posterior", F.round(share, 6))
     random = F.array_max("ll") <= F.lit(-np.log(BUCKETS)) * F.col("n_bytes")
@@ -199,8 +209,9 @@ def page_records(pages: DataFrame) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", host_col: str = "source") -> DataFrame:
-    """The rows of ``docs``, all columns, without those rejected.  Rows that
-    share an id go together; rows with a null id stay."""
-    cols = {"id_col": id_col, "text_col": text_col, "lang_col": lang_col}
-    judged = materialize(identify(document_records(docs, host_col=host_col, **cols), fit(docs, **cols)).select("doc_id", "kept"))
-    return without(docs, id_col, judged.where(~F.col("kept")).select("doc_id"))
+    """The rows of ``docs``, all columns, without those rejected.  Each row is
+    judged by itself, whatever its id."""
+    model, docs = fit(docs, id_col=id_col, text_col=text_col, lang_col=lang_col), placed(docs)
+    rows = docs.select(*PLACE, *(F.col("_all")[c].alias(name) for c, name in ((lang_col, "declared"), (host_col, "host"), (text_col, "text"))))
+    rows = rows.select(*PLACE, F.col("declared").cast("string"), F.lower(F.col("host").cast("string")).alias("host"), F.lit(None).cast("string").alias("suffix"), "text")
+    return without(docs, materialize(identify(rows, model).where("not kept").select(*PLACE)))

@@ -25,10 +25,14 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from poolwright.llm import textnp
 from poolwright.llm.graph import components, join_by_key
-from poolwright.llm.stage import few, materialize, without
+from poolwright.llm.stage import PLACE, materialize, placed, sieved, without
 
 SHINGLE = 5
 TREES, NODE, DEPTH = 10, 2048, 10
+#: A class counts for as many in a node as its set has times so many shingles,
+#: so that the sets of a small node take at most 64 MB; and of the pairs whose
+#: sets go to one task.
+LONG, TOGETHER = 4096, 4 << 20
 SKETCH = 256
 #: Sketches may miss a pair at the threshold by chance of 4 standard errors.
 ERRORS = 4.0
@@ -44,8 +48,9 @@ def root_functions(percent: int) -> list[int]:
     return [f for t in range(TREES) for f in ((2 * t, 2 * t + 1) if t < second else (2 * t,))]
 
 
-def profile(docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
-    """id, n (set size), two digests of the set, root keys and the sketch."""
+def profile(rows: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
+    """place, id, n (set size), two digests of the set, root keys and the sketch
+    of ``rows`` with their places."""
     functions = root_functions(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -53,7 +58,7 @@ def profile(docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFr
             rows = batch.num_rows
             n, digest = np.zeros(rows, np.int64), np.zeros((2, rows), np.uint64)
             keys, sketch = np.zeros((rows, len(functions)), np.uint64), np.zeros((rows, SKETCH), np.uint8)
-            for first, last, data, offsets in textnp.chunks(batch.column(1)):
+            for first, last, data, offsets in textnp.chunks(batch.column(3)):
                 sets = list(textnp.gram_sets(textnp.words(data, offsets), SHINGLE))
                 size = np.array([len(s) for s in sets])
                 n[first:last] = size
@@ -73,14 +78,16 @@ def profile(docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFr
             lists = pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * len(functions)), pa.array(keys.view(np.int64).ravel()))
             raw = sketch.tobytes()
             blobs = pa.array([raw[i * SKETCH : (i + 1) * SKETCH] for i in range(rows)], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(digest[0].view(np.int64)), pa.array(digest[1].view(np.int64)), lists, blobs], ["id", "n", "d1", "d2", "keys", "sketch"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(n), pa.array(digest[0].view(np.int64)), pa.array(digest[1].view(np.int64)), lists, blobs], [*PLACE, "id", "n", "d1", "d2", "keys", "sketch"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, n long, d1 long, d2 long, keys array<long>, sketch binary")
+    taken = rows.select(*PLACE, F.col("_all")[id_col].alias("id"), F.col("_all")[text_col].alias("text"))
+    return taken.mapInArrow(run, f"_file long, _row long, id {taken.schema['id'].dataType.simpleString()}, n long, d1 long, d2 long, keys array<long>, sketch binary")
 
 
 def _sized(nodes: DataFrame) -> DataFrame:
-    """``nodes`` (key, cid) that have company, with the node's size."""
-    return nodes.join(nodes.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "key").select("key", "cid", "size")
+    """``nodes`` (key, cid, n) that have company, with the node's size."""
+    sizes = nodes.groupBy("key").agg(F.count("*").alias("many"), F.ceil(F.sum(F.greatest(F.lit(1.0), F.col("n") / F.lit(LONG)))).alias("size"))
+    return join_by_key(nodes, sizes.where("many > 1"), "key", how="inner").select("key", "cid", "n", "size")
 
 
 def _children(percent: int) -> Column:
@@ -96,7 +103,7 @@ def branch(classes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame | Non
     """Small nodes (key, cid), and the grid of blocks of nodes that stay
     large, if any."""
     sketches = classes.select("cid", "sketch")
-    members = materialize(_sized(classes.select("cid", F.explode("keys").alias("key"))))
+    members = materialize(_sized(classes.select(F.explode("keys").alias("key"), "cid", "n")))
     small, level = [members.where(F.col("size") <= NODE).select("key", "cid")], 0
     large = members.where(F.col("size") > NODE)
     while not large.isEmpty():
@@ -109,7 +116,7 @@ def branch(classes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame | Non
         centre = materialize(large.groupBy("key").agg(F.min("cid").alias("cid"), F.first("size").alias("size")))
         small.append(large.select(block(F.pmod(F.xxhash64("cid"), blocks)), "cid").union(
             centre.select("key", "cid", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("i")).select(block(F.col("i")), "cid")).distinct())
-        members = materialize(_sized(large.join(sketches, "cid").select(_children(percent).alias("key"), "cid")))
+        members = materialize(_sized(materialize(large.join(sketches, "cid").select(_children(percent).alias("key"), "cid", "n"))))
         small.append(members.where(F.col("size") <= NODE).select("key", "cid"))
         large, level = members.where(F.col("size") > NODE), level + 1
     return materialize(reduce(DataFrame.union, small)), None
@@ -245,29 +252,28 @@ def _forest(pairs: np.ndarray, group: np.ndarray, test: Callable[[int, int], boo
     return taken
 
 
-def full_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """cid, set (sorted 64-bit hashes) of the classes ``wanted`` (cid, rep)."""
+def full_sets(rows: DataFrame, wanted: DataFrame, text_col: str) -> DataFrame:
+    """cid, set (sorted 64-bit hashes) of the classes ``wanted`` (cid and the
+    place of one of their texts), a written table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            d1, d2, blobs = [], [], []
-            for _, _, data, offsets in textnp.chunks(batch.column(0)):
-                for s in textnp.gram_sets(textnp.words(data, offsets), SHINGLE):
-                    d1.append(int(textnp.mix(s).sum().view(np.int64)))
-                    d2.append(int(textnp.mix(s ^ TREE_SEEDS[0, 0]).sum().view(np.int64)))
-                    blobs.append(s.astype("<u8").tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(blobs, pa.binary())], ["d1", "d2", "set"])
+            blobs = [s.astype("<u8").tobytes() for _, _, data, offsets in textnp.chunks(batch.column(1)) for s in textnp.gram_sets(textnp.words(data, offsets), SHINGLE)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(blobs, pa.binary())], ["cid", "set"])
 
-    ids = few(wanted.select(F.col("rep").alias("_rep")).distinct())
-    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(ids, F.col("_id").eqNullSafe(F.col("_rep")), "left_semi").select("_text")
-    sets = texts.mapInArrow(run, "d1 long, d2 long, set binary").select(F.xxhash64("d1", "d2").alias("cid"), "set")
-    return sets.join(wanted.select("cid").distinct(), "cid", "left_semi").dropDuplicates(["cid"])
+    texts = sieved(rows, wanted, PLACE)[1].join(wanted, PLACE).select("cid", F.col("_all")[text_col].alias("text"))
+    return texts.mapInArrow(run, "cid long, set binary")
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that reach the threshold on the full sets.  Each is
-    checked in one node, where each set is sent once."""
+    checked in one node, where each set is sent once; pairs of a node whose
+    sets are large are dealt to several tasks."""
     pairs = materialize(pairs.groupBy("a", "b").agg(F.min("key").alias("key")))
+    size = sets.select(F.col("cid").alias("a"), F.octet_length("set").alias("size"))
+    parts = pairs.join(size, "a").groupBy("key").agg(F.ceil(F.sum("size") / F.lit(8 * TOGETHER)).alias("parts")).where("parts > 1")
+    dealt = join_by_key(pairs, parts, "key")
+    pairs = materialize(dealt.select(F.when(F.col("parts") > 1, F.xxhash64("key", F.pmod(F.xxhash64("a", "b"), F.col("parts")))).otherwise(F.col("key")).alias("key"), "a", "b"))
     ends = pairs.select("key", F.col("a").alias("cid")).union(pairs.select("key", "b")).distinct().join(sets, "cid")
     rows = ends.select("key", F.col("cid").alias("a"), F.lit(None).cast("long").alias("b"), "set").union(pairs.select("key", "a", "b", F.lit(None).cast("binary")))
 
@@ -298,37 +304,51 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     Rows with one id are separate texts; null ids count last and are kept only
     in components without other ids.
     """
+    rows = _judged(placed(docs), id_col, text_col, percent)
+    return rows.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def _judged(docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
+    """place, doc_id, n_shingles, component_id and ``label``, the component's
+    number (null for empty sets), of ``docs`` with their places."""
     texts = materialize(profile(docs, id_col, text_col, percent))
-    classes = texts.where("n > 0").groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"))
-    classes = materialize(classes.select(F.xxhash64("d1", "d2").alias("cid"), "rep", "keys", "sketch"))
+    classes = texts.where("n > 0").groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.min(F.struct(*PLACE)).alias("place"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"))
+    # Written once, the numbers stay; no two classes share one, as hashes might.
+    classes = materialize(classes.select(F.monotonically_increasing_id().alias("cid"), "d1", "d2", "rep", "n", "place.*", "keys", "sketch"))
     small, grid = branch(classes, percent)
     first = materialize(likely_forest(small, classes, percent))
-    reps = classes.select("cid", "rep")
-    wanted = reps.join(first.select(F.col("a").alias("cid")).union(first.select("b")).distinct(), "cid", "left_semi")
-    sets = materialize(full_sets(docs, materialize(wanted), id_col, text_col))
+    reps, places = classes.select("cid", "rep"), classes.select("cid", *PLACE)
+    wanted = materialize(places.join(first.select(F.col("a").alias("cid")).union(first.select("b")).distinct(), "cid", "left_semi"))
+    sets = materialize(full_sets(docs, wanted, text_col))
     links = materialize(confirm(first, sets, percent))
     labels = materialize(components(links).withColumnRenamed("node", "cid"))
     # A class without a likely pair in the small nodes has links in the grid only.
     nodes = small.join(sets.select("cid"), "cid", "left_semi") if grid is None else small.union(grid)
-    marked = nodes.join(labels, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
+    marked = materialize(nodes.join(labels, "cid", "left").select("key", "cid", F.coalesce("label", "cid").alias("label")))
     mixed = marked.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
-    members = materialize(crossing(nodes.join(mixed, "key", "left_semi"), classes, labels, percent))
+    members = materialize(crossing(join_by_key(marked, mixed, "key", how="inner").select("key", "cid"), classes, labels, percent))
     if grid is not None:
-        missing = materialize(reps.join(members.select("cid").distinct(), "cid", "left_semi").join(sets, "cid", "left_anti"))
-        sets = sets.union(materialize(full_sets(docs, missing, id_col, text_col)))
+        missing = materialize(places.join(members.select("cid").distinct(), "cid", "left_semi").join(sets, "cid", "left_anti"))
+        sets = sets.union(materialize(full_sets(docs, missing, text_col)))
     more = materialize(crossing_links(members, classes, labels, sets, percent))
     if not more.isEmpty():
         labels = materialize(components(links.union(more)).withColumnRenamed("node", "cid"))
     found = reps.join(labels, "cid")
     least = found.groupBy("label").agg(F.min("rep").alias("component_id"))
-    of_class = reps.join(found.join(least, "label").select("cid", "component_id"), "cid", "left").select("cid", F.coalesce("component_id", "rep").alias("component_id"))
-    rows = texts.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.xxhash64("d1", "d2")).alias("cid"))
-    out = join_by_key(rows, of_class, "cid").withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
-    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    found = join_by_key(materialize(found), least, "label", how="inner").select("cid", "label", "component_id")
+    of_class = classes.select("cid", "d1", "d2", "rep").join(found, "cid", "left").select("d1", "d2", F.coalesce("component_id", "rep").alias("component_id"), F.coalesce("label", "cid").alias("label"))
+    rows = texts.select(*PLACE, F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "d1", "d2")
+    full = join_by_key(rows.where("n_shingles > 0"), of_class, ["d1", "d2"]).drop("d1", "d2")
+    return full.unionByName(rows.where("n_shingles = 0").drop("d1", "d2").withColumns({"component_id": F.col("doc_id"), "label": F.lit(None).cast("long")}))
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
-    """The rows of ``docs``, all columns, of one document in each component.
-    Rows with one id stay or go together."""
-    judged = materialize(near_duplicates(docs, id_col=id_col, text_col=text_col, percent=percent))
-    return without(docs, id_col, judged.where("not kept").select("doc_id"))
+    """The rows of ``docs``, all columns, of one row in each component: the one
+    of the smallest id, null ids last, of repeated ids any one.  Rows without
+    words stay."""
+    docs = placed(docs)
+    judged = materialize(_judged(docs, id_col, text_col, percent).where("label is not null").select("label", "doc_id", *PLACE))
+    order = F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", *PLACE)
+    first = judged.groupBy("label").agg(F.count("*").alias("many"), F.min(order).alias("first")).where("many > 1").select("label", "first")
+    gone = join_by_key(judged, first, "label", how="inner").where(~order.eqNullSafe(F.col("first")))
+    return without(docs, materialize(gone.select(*PLACE)))

@@ -72,6 +72,13 @@ f AS (SELECT r, {", ".join(count(x.kind) for x in secrets.BASE)}, {span} FILTER
 SELECT doc_id, {", ".join(f"coalesce(n_{x.kind}, 0) AS n_{x.kind}" for x in secrets.BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN f USING (r)"""
 
 
+def secret_ledger() -> str:
+    name = lambda rules: ",".join(f"{r.kind}:{r.version}" for r in rules)
+    return f"""
+WITH d AS (SELECT DISTINCT sha256(coalesce(text, '')) AS blob FROM documents), c AS (SELECT DISTINCT sha256(coalesce(text, '')) AS blob FROM conversations)
+SELECT blob, '{name(secrets.MORE)}' AS rules FROM d UNION ALL SELECT blob, '{name(secrets.RULES)}' FROM c WHERE blob NOT IN (SELECT blob FROM d)"""
+
+
 def mix(keep: float, seed: str, sweeps: int = 40) -> str:
     def share(dim: str, target) -> str:
         if isinstance(target, dict):
@@ -141,6 +148,7 @@ ORACLE_SQL: dict[str, str] = {
     "op1_near_duplicates": near_duplicates(85),
     "op2_quality_rules": quality_rules(0.02, 0.05),
     "op3_secret_scans": secret_scans(),
+    "op3_secret_ledger": secret_ledger(),
     "op4_mix_sources": mix(0.5, "mix"),
     "op5_url_filters": url_filters(),
     "op10_suffix_dedup": suffix_dedup(),

@@ -1,9 +1,11 @@
 """The registered queries of the operators, over whole tables."""
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from poolwright.llm import automaton, decontaminate, hosts, langid, licenses, mixing, neardup, quality, secrets, suffixes
-from poolwright.llm.stage import table
+from poolwright.llm.stage import stage_root, table
 
 
 def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,7 +18,17 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.digest(table(spark, sf_dir, "documents"))
+    """All documents through a ledger kept as files, new with each call."""
+    return secrets.digest(table(spark, sf_dir, "documents"), ledger=secrets.Ledger(spark, f"{stage_root(spark)}/ledger-{uuid.uuid4().hex}"))
+
+
+def op3_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a second scan of a ledger adds: the base rules have met all documents,
+    then all rules meet the documents and the turns of conversations."""
+    docs, ledger = table(spark, sf_dir, "documents").select("text"), secrets.Ledger(spark, f"{stage_root(spark)}/ledger-{uuid.uuid4().hex}")
+    ledger.scan(docs, rules=secrets.BASE)
+    new = ledger.scan(docs.union(table(spark, sf_dir, "conversations").select("text")))
+    return new.select("blob", F.array_join(F.transform("scanned", lambda x: F.concat_ws(":", x["kind"], x["version"])), ",").alias("rules"))
 
 
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,6 +66,6 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_near_duplicates, op2_quality_rules, op3_secret_scans, op4_mix_sources, op5_url_filters,
+    op1_near_duplicates, op2_quality_rules, op3_secret_scans, op3_secret_ledger, op4_mix_sources, op5_url_filters,
     op6_lm_scoring, op7_license_scans, op8_decontaminate, op9_language_id, op9_language_id_pages, op10_suffix_dedup,
 )}

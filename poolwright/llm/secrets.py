@@ -8,9 +8,10 @@ version they have not met, and findings are joined back to every path.
 
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from poolwright.llm.stage import few, materialize
+from poolwright.llm.graph import join_by_key
+from poolwright.llm.stage import materialize, sieved
 
 
 class Rule(NamedTuple):
@@ -77,17 +78,41 @@ def scan(versions: DataFrame, *, text_col: str = "text", ledger: DataFrame | Non
     """Ledger rows (blob, scanned) for the pairs that ``ledger`` lacks.
 
     A blob that all rule versions have met gives no row; a null text is empty.
-    Copies collapse in each map task before the shuffle.  Append the rows to
-    the ledger; a blob may have several.
+    Blobs are compared with the ledger before any text moves; texts of blobs
+    that still have something to meet collapse in each map task before their
+    shuffle.  Append the rows to the ledger; a blob may have several.
     """
-    blobs = versions.select(blob_id(F.col(text_col)).alias("blob"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).dropDuplicates(["blob"])
+    texts = versions.select(blob_id(F.col(text_col)).alias("blob"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     if ledger is None:
-        return blobs.select("blob", F.array(*(F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version"), spans(F.col("text"), r).alias("spans")) for r in rules)).cast(SCANNED).alias("scanned"))
-    met = ledger.groupBy("blob").agg(F.flatten(F.collect_list("scanned")).alias("met"))
-    blobs = blobs.join(met, "blob", "left").withColumn("met", F.coalesce("met", F.array().cast(SCANNED)))
-    unseen = lambda r: ~F.exists("met", lambda x: (x["kind"] == r.kind) & (x["version"] == r.version))
-    pairs = F.array(*(F.when(unseen(r), F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version"), spans(F.col("text"), r).alias("spans"))) for r in rules)).cast(SCANNED)
-    return blobs.select("blob", F.filter(pairs, lambda x: x.isNotNull()).alias("scanned")).where(F.size("scanned") > 0)
+        return texts.dropDuplicates(["blob"]).select("blob", F.array(*(F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version"), spans(F.col("text"), r).alias("spans")) for r in rules)).cast(SCANNED).alias("scanned"))
+    met = ledger.select("blob", F.explode("scanned").alias("x")).groupBy("blob").agg(F.collect_set(F.concat_ws(":", "x.kind", "x.version")).alias("met"))
+    wanted = F.array(*(F.lit(f"{r.kind}:{r.version}") for r in rules))
+    todo = texts.select("blob").distinct().join(met, "blob", "left").select("blob", F.array_except(wanted, F.coalesce("met", F.array().cast("array<string>"))).alias("todo"))
+    todo = materialize(todo.where(F.size("todo") > 0))
+    blobs = sieved(texts, todo, ["blob"])[1].dropDuplicates(["blob"]).join(todo, "blob")
+    pairs = F.array(*(F.when(F.array_contains("todo", f"{r.kind}:{r.version}"), F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version"), spans(F.col("text"), r).alias("spans"))) for r in rules)).cast(SCANNED)
+    return blobs.select("blob", F.filter(pairs, lambda x: x.isNotNull()).alias("scanned"))
+
+
+class Ledger:
+    """A ledger kept as Parquet in ``path``, on a store that all executors
+    share; every ``scan`` appends what it finds, whole or not at all."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def rows(self) -> DataFrame:
+        """blob, scanned; no rows before the first scan."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        if not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
+            return self.spark.createDataFrame([], f"blob string, scanned {SCANNED}")
+        return self.spark.read.schema(f"blob string, scanned {SCANNED}").parquet(self.path)
+
+    def scan(self, versions: DataFrame, *, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+        """Scan what is unseen; the ledger rows that came to it."""
+        new = materialize(scan(versions, text_col=text_col, ledger=self.rows(), rules=rules))
+        new.write.mode("append").parquet(self.path)
+        return new
 
 
 def findings(ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -106,29 +131,34 @@ FOUND = "array<struct<start:int,kind_no:int,end:int,kind:string>>"
 def by_path(versions: DataFrame, found: DataFrame, *, text_col: str = "text") -> DataFrame:
     """Every row of ``versions`` with ``blob`` and ``found`` (empty if none).
 
-    Blobs with findings are broadcast if they are few, so texts stay where they
-    are; else a blob with very many paths is a skewed key, which adaptive
-    execution splits.
+    Only texts whose blob may have findings are moved to them; a blob with very
+    many paths gets its findings where they are.
     """
-    taken = versions.withColumn("blob", blob_id(F.col(text_col)))
-    return taken.join(few(found), "blob", "left").withColumn("found", F.coalesce("found", F.array().cast(FOUND)))
+    found = materialize(found)
+    clean, may = sieved(versions.withColumn("blob", blob_id(F.col(text_col))), found, ["blob"])
+    out = clean.withColumn("found", F.lit(None).cast(FOUND)).unionByName(join_by_key(materialize(may), found, "blob"))
+    return out.withColumn("found", F.coalesce("found", F.array().cast(FOUND)))
 
 
 def joined(found: Column) -> Column:
     return F.array_join(F.transform(found, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
 
 
-def digest(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ledger: DataFrame | None = None) -> DataFrame:
+def digest(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ledger: Ledger | None = None) -> DataFrame:
     """doc_id with the counts of the base kinds, their digest and all spans.
 
+    With a ledger only what it has not seen is scanned, and it grows by that.
     Repeated rows and ids stay; a null or empty text has no spans.
     """
-    new = materialize(scan(docs, text_col=text_col, ledger=ledger))
-    found = findings(new if ledger is None else ledger.unionByName(new))
+    if ledger is None:
+        found = findings(materialize(scan(docs, text_col=text_col)))
+    else:
+        ledger.scan(docs, text_col=text_col)
+        found = findings(ledger.rows())
     base = F.filter("found", lambda x: x["kind_no"] < len(BASE))
     count = lambda kind: F.size(F.filter("found", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
     facts = found.select("blob", *(count(r.kind) for r in BASE), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("found")).alias("spans"))
-    paths = docs.select(F.col(id_col).alias("doc_id"), blob_id(F.col(text_col)).alias("blob")).join(few(facts), "blob", "left")
+    paths = join_by_key(materialize(docs.select(F.col(id_col).alias("doc_id"), blob_id(F.col(text_col)).alias("blob"))), materialize(facts), "blob")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
     return paths.select("doc_id", *(zero(f"n_{r.kind}") for r in BASE), F.coalesce("base_sha256", F.sha2(F.lit(""), 256)).alias("base_sha256"), F.coalesce("spans", F.lit("")).alias("spans"))
 

@@ -1,18 +1,17 @@
-"""Intermediate tables in the folder that all executors share."""
+"""Intermediate tables in the folder that all executors share, and joins of
+texts with keys that do not shuffle the texts whose key is not wanted."""
 
-import gc
-import itertools
 import re
 import tempfile
 import uuid
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-#: Up to so many ids are broadcast; more are joined by shuffle.
-BROADCAST_IDS = 200_000
-#: After so many written tables the driver is asked to collect its garbage.
-RELEASE_EVERY = 2
-_written = itertools.count(1)
+#: Bits of a sieve.  It is broadcast, as at most so many / 64 rows of two
+#: numbers (16 MB), however many keys there are: the more keys, the more rows
+#: pass it by chance, up to all.
+SIEVE = 1 << 25
 _deleted: set[str] = set()
 
 
@@ -35,17 +34,11 @@ def stage_root(spark: SparkSession) -> str:
 
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet and read it back: it is computed once, its
-    lineage is cut, and the loss of an executor does not lose it.
-
-    Shuffle files and broadcasts of plans that are no longer in use go when the
-    driver's garbage is collected, which it does rarely by itself."""
+    lineage is cut, and the loss of an executor does not lose it."""
     spark = df.sparkSession
     path = f"{stage_root(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     _delete_at_end(spark)
-    if next(_written) % RELEASE_EVERY == 0:
-        gc.collect()
-        spark._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -58,17 +51,45 @@ def _delete_at_end(spark: SparkSession) -> None:
         _deleted.add(root)
 
 
-def few(ids: DataFrame) -> DataFrame:
-    """``ids``, written, to be broadcast if they are at most BROADCAST_IDS."""
-    ids = materialize(ids)
-    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+#: The place of a row: its file, by hash, and its number in there.
+PLACE = ["_file", "_row"]
+
+
+def placed(rows: DataFrame) -> DataFrame:
+    """_file, _row and ``_all``, the row as a struct.  A place names one row and
+    is the same in every scan.  Rows that no plain scan of files gives are
+    written first."""
+    plan = rows._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.children().head()
+    if plan.nodeName() != "LogicalRelation":
+        rows = materialize(rows)
+    found = rows.metadataColumn("_metadata")
+    return rows.select(F.xxhash64(found["file_path"]).alias("_file"), found["row_index"].alias("_row"), F.struct(*(F.col(f"`{c}`") for c in rows.columns)).alias("_all"))
+
+
+def same(left: DataFrame, right: DataFrame, on: list[str]) -> Column:
+    """A join condition on columns where null equals null."""
+    return reduce(Column.__and__, (left[c].eqNullSafe(right[c]) for c in on))
+
+
+def sieved(rows: DataFrame, keys: DataFrame, on: list[str]) -> tuple[DataFrame, DataFrame]:
+    """``rows`` in two parts: those whose columns ``on`` are surely not in
+    ``keys``, and those that may be.  Only the latter need a shuffle to find
+    out.  ``keys`` should be a written table.  Null equals null."""
+    bit = F.pmod(F.xxhash64(*on), F.lit(SIEVE))
+    bits = keys.select(bit.alias("_bit")).groupBy(F.shiftright("_bit", 6).alias("_word")).agg(F.expr("bit_or(shiftleft(1L, cast(_bit & 63 as int)))").alias("_bits"))
+    marked = rows.withColumn("_bit", bit).withColumn("_word", F.shiftright("_bit", 6)).join(F.broadcast(bits), "_word", "left")
+    may = F.expr("coalesce(shiftright(_bits, cast(_bit & 63 as int)) & 1, 0) = 1")
+    columns = [f"`{c}`" for c in rows.columns]
+    return marked.where(~may).select(columns), marked.where(may).select(columns)
 
 
-def without(rows: DataFrame, id_col: str, gone: DataFrame) -> DataFrame:
-    """``rows``, columns as before, without those whose id is in the one
-    column of ``gone``; rows with a null id stay."""
-    gone = gone.select(F.col(gone.columns[0]).alias(id_col)).distinct()
-    return rows.join(few(gone), id_col, "left_anti").select(*(f"`{c}`" for c in rows.columns))
+def without(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """``rows``, as they were before ``placed``, less those at the places
+    ``gone``, a written table."""
+    stay, may = sieved(rows, gone, PLACE)
+    return stay.union(may.join(gone, PLACE, "left_anti").select(*stay.columns)).select("_all.*")
 
 
 def purge(spark: SparkSession) -> None:

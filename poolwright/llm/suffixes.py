@@ -18,10 +18,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from poolwright.llm import textnp
-from poolwright.llm.stage import few, materialize
+from poolwright.llm.graph import join_by_key
+from poolwright.llm.stage import materialize, same, sieved
 
 LENGTH, SEED = 100, 50
 #: Surroundings of one hash that go to a block, and bytes that a block holds.
@@ -147,11 +149,20 @@ def _in_order(rows: np.ndarray, seen: np.ndarray) -> np.ndarray:
     return out
 
 
-def _id_codes(ids: pa.Array | pa.ChunkedArray) -> np.ndarray:
-    """Numbers in the order of the ids, null last."""
-    values = ids.to_pylist()
-    order = {v: i for i, v in enumerate(sorted({v for v in values if v is not None}))}
-    return np.array([order.get(v, len(order)) for v in values], np.int64)
+def _codes(rows: pa.RecordBatch | pa.Table) -> np.ndarray:
+    """Numbers in the order of (id, sub), null ids last."""
+    ids, sub = rows.column("id"), rows.column("sub").to_numpy()
+    if isinstance(ids, pa.ChunkedArray):
+        ids = ids.combine_chunks()
+    coded = ids.dictionary_encode()
+    rank = np.empty(len(coded.dictionary) + 1, np.int64)
+    rank[pc.sort_indices(coded.dictionary).to_numpy()] = np.arange(len(coded.dictionary))
+    rank[-1] = len(coded.dictionary)
+    code = rank[pc.fill_null(coded.indices, len(coded.dictionary)).to_numpy(zero_copy_only=False)]
+    by = np.lexsort((sub, code))
+    out = np.empty(len(by), np.int64)
+    out[by] = np.cumsum(np.concatenate([[True], (code[by][1:] != code[by][:-1]) | (sub[by][1:] != sub[by][:-1])])[: len(by)])
+    return out
 
 
 def repeats(pieces: list[bytes], ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -177,21 +188,26 @@ def repeats(pieces: list[bytes], ids: np.ndarray, starts: np.ndarray) -> tuple[n
     return piece, offset, out
 
 
-def _first_texts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The rows (id, text) of the first of all equal texts, and (_lid, sha) of
-    the later ones, none of them under LENGTH bytes.  Later ones without an id
-    stay among the first: their strings are found to be repeated like others."""
-    stamped = docs.where(F.octet_length("text") >= LENGTH).select("id", F.sha2("text", 256).alias("sha"))
-    groups = stamped.groupBy("sha").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    later = few(stamped.join(few(groups.select("sha", "first")), "sha").where(~F.col("id").eqNullSafe(F.col("first"))).select(F.col("id").alias("_lid"), "sha").distinct())
-    return _with_sha(docs.where(F.octet_length("text") >= LENGTH)).join(later, ["_lid", "sha"], "left_anti").select("id", "text"), later
+#: A document: its id, and a hash that tells texts of one id (or none) apart.
+KEY = ["id", "sub"]
+
 
+def _documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, sub, text of every row; a null text is empty."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return docs.select(F.col(id_col).alias("id"), F.xxhash64(F.sha2(text, 256)).alias("sub"), text.alias("text"))
 
-def _with_sha(docs: DataFrame) -> DataFrame:
-    return docs.withColumns({"_lid": F.col("id"), "sha": F.sha2("text", 256)})
 
+def _later(docs: DataFrame) -> DataFrame:
+    """The documents (id, sub), of at least LENGTH bytes, whose whole text is
+    that of another one of a smaller id; null ids count last."""
+    order = F.struct(F.col("id").isNull().alias("x"), "id")
+    stamped = materialize(docs.where(F.octet_length("text") >= LENGTH).select("id", "sub", F.sha2("text", 256).alias("sha")))
+    groups = stamped.groupBy("sha").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1").select("sha", "first")
+    return materialize(join_by_key(stamped, groups, "sha", how="inner").where(~order.eqNullSafe(F.col("first"))).select(*KEY).distinct())
 
-ROWS = "known boolean, hash long, around long, id {id}, start int, stop int"
+
+ROWS = "known boolean, hash long, around long, id {id}, sub long, start int, stop int"
 
 
 def _shared(x: np.ndarray) -> np.ndarray:
@@ -206,18 +222,28 @@ def _seed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     repeated and go along under a hash of their own."""
     for batch in textnp.slices(batches):
         found = []
-        for first, _, data, offsets in textnp.chunks(batch.column(1)):
+        for first, _, data, offsets in textnp.chunks(batch.column(2)):
             text, *rest = seeds(data, offsets)
             found.append((text + first, *rest))
         if not found:
             continue
         text, hashed, around, start, end = (np.concatenate(x) for x in zip(*found, strict=True))
-        known, ids = np.zeros(len(around), bool), _id_codes(batch.column(0))
+        known, ids = np.zeros(len(around), bool), _codes(batch)
         by = _shared(around)
         by = by[np.lexsort((start[by], ids[text[by]], around[by]))]
-        known[by[1:]] = around[by[1:]] == around[by[:-1]]
+        known[by] = _repeated(around[by], ids[text[by]], start[by])
         hashed = np.where(known, textnp.mix(hashed + text.astype(np.uint64) * np.uint64(textnp.BASE)), hashed)
-        yield pa.RecordBatch.from_arrays([pa.array(known), pa.array(hashed.view(np.int64)), pa.array(around.view(np.int64)), batch.column(0).take(pa.array(text)), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32))], ["known", "hash", "around", "id", "start", "stop"])
+        yield pa.RecordBatch.from_arrays([pa.array(known), pa.array(hashed.view(np.int64)), pa.array(around.view(np.int64)), batch.column(0).take(pa.array(text)), batch.column(1).take(pa.array(text)), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32))], ["known", "hash", "around", "id", "sub", "start", "stop"])
+
+
+def _repeated(group: np.ndarray, ids: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Of places sorted by group, document and start, if they are another place
+    than the first of their group: a row that is there twice is one document."""
+    if not len(group):
+        return np.zeros(0, bool)
+    head = np.concatenate([[True], group[1:] != group[:-1]])
+    first = np.flatnonzero(head)[np.cumsum(head) - 1]
+    return (ids != ids[first]) | (start != start[first])
 
 
 def _sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,26 +260,29 @@ def _sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     if not rows.num_rows:
         return
     known, hashed, around, start = (rows.column(c).to_numpy() for c in ("known", "hash", "around", "start"))
-    by = np.lexsort((start, _id_codes(rows.column("id")), around, hashed, known))
+    ids = _codes(rows)
+    by = np.lexsort((start, ids, around, hashed, known))
     known, hashed, around = known[by], hashed[by], around[by]
     fresh = np.concatenate([[True], hashed[1:] != hashed[:-1]])
-    first = (fresh | np.concatenate([[True], around[1:] != around[:-1]])) & ~known
+    head = fresh | np.concatenate([[True], around[1:] != around[:-1]])
+    first = head & ~known
     group = np.cumsum(fresh) - 1
     kinds = np.bincount(group, first)
     blocks = np.where(first, np.ceil(kinds / BLOCK_ROWS)[group], 0).astype(np.int32)
-    out = np.flatnonzero(~first | (kinds[group] > 1))
+    again = known | _repeated(np.cumsum(head), ids[by], start[by])
+    out = np.flatnonzero(again | (first & (kinds[group] > 1)))
     taken = rows.take(pa.array(by[out]))
-    yield from pa.table({"blocks": pa.array(blocks[out]), "hash": taken.column("hash"), "id": taken.column("id"), "start": taken.column("start"), "stop": taken.column("stop")}).to_batches(max_chunksize=100_000)
+    yield from pa.table({"blocks": pa.array(blocks[out]), "hash": taken.column("hash"), "id": taken.column("id"), "sub": taken.column("sub"), "start": taken.column("start"), "stop": taken.column("stop")}).to_batches(max_chunksize=100_000)
 
 
 def _expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (block, blocks, id, start, piece) sorted by block, in runs of whole
+    """Rows (block, blocks, id, sub, start, piece) sorted by block, in runs of whole
     blocks: spans of repeated strings, and from blocks of a shared hash the
     first strings with their hashes."""
 
     def solve(rows: pa.Table) -> pa.RecordBatch:
         pieces, starts = rows.column("piece").to_pylist(), rows.column("start").to_numpy().astype(np.int64)
-        piece, offset, again = repeats(pieces, _id_codes(rows.column("id")), starts)
+        piece, offset, again = repeats(pieces, _codes(rows), starts)
         edge = np.concatenate([[True], (piece[1:] != piece[:-1]) | ~again[:-1]])[: len(piece)]
         head = np.flatnonzero(again & edge)
         tail = np.flatnonzero(again & np.concatenate([edge[1:] | ~again[1:], [True]])[: len(piece)])
@@ -269,7 +298,7 @@ def _expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         begin = np.concatenate([starts[piece[head]] + offset[head], starts[piece[lone]] + offset[lone]])
         stop = np.concatenate([starts[piece[tail]] + offset[tail] + LENGTH, starts[piece[lone]] + offset[lone] + LENGTH])
         string = pa.array(np.concatenate([np.zeros(len(head), np.int64), hashes.view(np.int64)]), mask=np.arange(len(which)) < len(head))
-        return pa.RecordBatch.from_arrays([rows.column("id").combine_chunks().take(pa.array(which)), pa.array(begin.astype(np.int32)), pa.array(stop.astype(np.int32)), string], ["id", "start", "stop", "string"])
+        return pa.RecordBatch.from_arrays([*(rows.column(c).combine_chunks().take(pa.array(which)) for c in KEY), pa.array(begin.astype(np.int32)), pa.array(stop.astype(np.int32)), string], [*KEY, "start", "stop", "string"])
 
     held: list[pa.RecordBatch] = []
     size, at = 0, None
@@ -282,58 +311,53 @@ def _expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield solve(pa.Table.from_batches(held))
                 held, size = [], 0
             held.append(batch.slice(a, b - a))
-            size, at, a = size + held[-1].column(4).nbytes, block[b - 1] if b > a else at, b
+            size, at, a = size + held[-1].column(5).nbytes, block[b - 1] if b > a else at, b
     if held:
         yield solve(pa.Table.from_batches(held))
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (id, text, spots) as one row for each spot, with its bytes."""
+    """Rows (id, sub, text, spots) as one row for each spot, with its bytes."""
     for batch in textnp.slices(batches):
-        ids, texts, spots = batch.column(0), batch.column(1), batch.column(2)
         which, pieces, rows = [], [], []
-        for i, (text, found) in enumerate(zip(texts, spots.to_pylist(), strict=True)):
+        for i, (text, found) in enumerate(zip(batch.column(2), batch.column(3).to_pylist(), strict=True)):
             data = text.as_py().encode()
             for spot in found:
                 which.append(i)
                 rows.append((spot["hash"], spot["blocks"], spot["start"]))
                 pieces.append(data[spot["start"] : spot["stop"]])
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), ids.take(pa.array(which, pa.int64())), pa.array([r[2] for r in rows], pa.int32()), pa.array(pieces, pa.binary())], ["hash", "blocks", "id", "start", "piece"])
+        of = pa.array(which, pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), batch.column(0).take(of), batch.column(1).take(of), pa.array([r[2] for r in rows], pa.int32()), pa.array(pieces, pa.binary())], ["hash", "blocks", *KEY, "start", "piece"])
 
 
 def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(id, start, stop) in bytes of strings, or runs of them, that also start
-    earlier, overlapping and in no order; and (_lid, sha), the id and digest of
-    whole texts that do.
-    An earlier place is one of a smaller id, or further left in the same text."""
+    """(id, sub, start, stop) in bytes of strings, or runs of them, that also
+    start earlier, overlapping and in no order; and (id, sub) of whole texts that
+    do.  Both tell documents by ``KEY``, as ``remove_repeats`` says."""
     kind = docs.schema[id_col].dataType.simpleString()
-    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    texts, later = _first_texts(docs)
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    docs = _documents(docs, id_col, text_col)
+    later = _later(docs)
+    clean, may = sieved(docs.where(F.octet_length("text") >= LENGTH), later, KEY)
+    texts = clean.union(may.join(later, same(may, later, KEY), "left_anti"))
     parts = max(docs.sparkSession.sparkContext.defaultParallelism, -(-size // PART_BYTES))
-    rows = texts.mapInArrow(_seed_rows, ROWS.format(id=kind)).repartition(parts, "hash")
-    sifted = materialize(rows.mapInArrow(_sift, f"blocks int, hash long, id {kind}, start int, stop int"))
-    spots = sifted.where("blocks > 0").groupBy("id").agg(F.collect_list(F.struct("hash", "blocks", "start", "stop")).alias("spots"))
-    cut = semi_by_id(texts, sifted.where("blocks > 0")).join(spots, texts["id"].eqNullSafe(spots["id"])).select(texts["id"], "text", "spots")
-    pieces = cut.mapInArrow(_cut, f"hash long, blocks int, id {kind}, start int, piece binary")
-    block = F.when(F.col("blocks") > 1, F.xxhash64("hash", F.pmod(F.xxhash64("id", "start"), F.col("blocks")))).otherwise(F.col("hash"))
-    pieces = pieces.select(block.alias("block"), "blocks", "id", "start", "piece").repartition(parts, "block").sortWithinPartitions("block")
-    expanded = materialize(pieces.mapInArrow(_expand, f"id {kind}, start int, stop int, string long"))
+    rows = texts.select(*KEY, "text").mapInArrow(_seed_rows, ROWS.format(id=kind)).repartition(parts, "hash")
+    sifted = materialize(rows.mapInArrow(_sift, f"blocks int, hash long, id {kind}, sub long, start int, stop int"))
+    spots = materialize(sifted.where("blocks > 0").groupBy(*KEY).agg(F.collect_list(F.struct("hash", "blocks", "start", "stop")).alias("spots")))
+    held = sieved(docs, spots, KEY)[1]
+    pieces = held.join(spots, same(held, spots, KEY)).select(held["id"], held["sub"], "text", "spots").mapInArrow(_cut, f"hash long, blocks int, id {kind}, sub long, start int, piece binary")
+    block = F.when(F.col("blocks") > 1, F.xxhash64("hash", F.pmod(F.xxhash64(*KEY, "start"), F.col("blocks")))).otherwise(F.col("hash"))
+    pieces = pieces.select(block.alias("block"), "blocks", *KEY, "start", "piece").repartition(parts, "block").sortWithinPartitions("block")
+    expanded = materialize(pieces.mapInArrow(_expand, f"id {kind}, sub long, start int, stop int, string long"))
     shared = expanded.where("string is not null")
-    place = F.struct(F.col("id").isNull().alias("x"), "id", "start")
+    place = F.struct(F.col("id").isNull().alias("x"), *KEY, "start")
     least = shared.groupBy("string").agg(F.min(place).alias("least"), F.max(place).alias("most")).where("least <> most").select("string", "least")
-    more = shared.join(least, "string").where(~place.eqNullSafe(F.col("least"))).select("id", "start", "stop")
-    spans = sifted.where("blocks = 0").select("id", "start", "stop").union(expanded.where("string is null").select("id", "start", "stop")).union(more)
+    more = join_by_key(shared, least, "string", how="inner").where(~place.eqNullSafe(F.col("least")))
+    span = [*KEY, "start", "stop"]
+    spans = sifted.where("blocks = 0").select(span).union(expanded.where("string is null").select(span)).union(more.select(span))
     return spans, later
 
 
-def semi_by_id(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Rows whose id is in ``wanted``; few enough ids are broadcast, so the
-    texts of other rows are not shuffled."""
-    ids = few(wanted.select(F.col("id").alias("_id")).distinct())
-    return rows.join(ids, rows["id"].eqNullSafe(F.col("_id")), "left_semi")
-
-
 def _merged(data: bytes, spans: list) -> tuple[int, int, bytes]:
     """Bytes removed, maximal runs of them, and what is left."""
     removed, runs, at, left = 0, 0, 0, []
@@ -355,28 +379,26 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     """doc_id, n_bytes, n_removed, n_spans, kept (the bytes left), kept_sha256
     for every row; a null text is empty.
 
-    Rows that repeat an id with the same text are one document; with another
-    text they are documents of which the order is not defined.  Null ids come
-    last.
+    A document is an id and a text: rows that repeat both are one document, each
+    with its result, and rows that share an id but not the text are documents
+    in the order of a hash of their texts.  Null ids come last, and rows without
+    an id are documents by their texts.  An earlier place is one in an earlier
+    document, or further left in the same one.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     spans, later = repeated_spans(docs, id_col=id_col, text_col=text_col)
-    spans = materialize(spans)
-    all_ = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    size, empty = F.octet_length("text").cast("long"), F.lit(b"").cast("binary")
-    marked = _with_sha(all_).join(later.withColumn("_late", F.lit(True)), ["_lid", "sha"], "left")
-    marked = marked.select("id", "text", size.alias("n_bytes"), F.col("_late").isNotNull().alias("later"))
-    gone = marked.where("later").select("id", "n_bytes", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), empty.alias("kept"))
-    rest = marked.where("not later")
-    ids = few(spans.select(F.col("id").alias("_id")).distinct())
-    plain = rest.join(ids, rest["id"].eqNullSafe(F.col("_id")), "left_anti").select("id", "n_bytes", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.col("text").cast("binary").alias("kept"))
-    listed = spans.groupBy(F.col("id").alias("_id")).agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
-    hit = rest.join(ids, rest["id"].eqNullSafe(F.col("_id")), "left_semi").join(listed, F.col("id").eqNullSafe(F.col("_id"))).select("id", "text", "n_bytes", "spans")
+    listed = spans.select(*KEY, F.lit(False).alias("late"), F.struct("start", "stop").alias("span")).union(later.select(*KEY, F.lit(True), F.lit(None).cast("struct<start:int,stop:int>")))
+    listed = materialize(listed.groupBy(*KEY).agg(F.max("late").alias("late"), F.collect_set("span").alias("spans")))
+    size, none = F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long")
+    plain, may = sieved(_documents(docs, id_col, text_col), listed, KEY)
+    plain = plain.select("id", size, none.alias("n_removed"), none.alias("n_spans"), F.col("text").cast("binary").alias("kept"))
+    held = may.join(listed, same(may, listed, KEY), "left").select(may["id"], "text", F.coalesce("late", F.lit(False)).alias("late"), F.coalesce("spans", F.array().cast("array<struct<start:int,stop:int>>")).alias("spans"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in textnp.slices(batches):
-            out = [_merged(t.as_py().encode(), [(s["start"], s["stop"]) for s in x]) for t, x in zip(batch.column(1), batch.column(3).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int64()), pa.array([r[2] for r in out], pa.binary())], ["id", "n_bytes", "n_removed", "n_spans", "kept"])
+            texts = [t.as_py().encode() for t in batch.column(1)]
+            out = [(len(t), 1, b"") if late else _merged(t, [(s["start"], s["stop"]) for s in x]) for t, late, x in zip(texts, batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, texts), pa.int64()), pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int64()), pa.array([r[2] for r in out], pa.binary())], ["id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    out = gone.union(plain).union(hit.mapInArrow(run, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept binary"))
+    out = plain.union(held.mapInArrow(run, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept binary"))
     return out.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept", F.sha2("kept", 256).alias("kept_sha256"))

@@ -10,7 +10,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import SparkSession, functions as F
 
 from poolwright.llm import automaton, decontaminate, langid, licenses, queries, suffixes, textnp
 
@@ -338,8 +338,14 @@ def test_every_declared_language_is_modelled(spark):
 # --- repeated byte strings ----------------------------------------------------------------
 
 def plain_repeats(rows, length=100):
+    """(id, text) -> result, by looking at every string of every document."""
+    from poolwright.llm import suffixes as sx
+
+    spark = SparkSession.getActiveSession()
+    texts = sorted(set(rows), key=repr)
+    subs = [r["sub"] for r in sx._documents(spark.createDataFrame([(i, x[1]) for i, x in enumerate(texts)], "i long, text string"), "i", "text").orderBy("id").collect()]
     seen, out = set(), {}
-    for i, text in sorted(set(rows), key=lambda r: (r[0] is None, r[0])):
+    for (i, text), _ in sorted(zip(texts, subs, strict=True), key=lambda r: (r[0][0] is None, r[0][0] or 0, r[1])):
         b = (text or "").encode()
         gone = np.zeros(len(b) + 1, bool)
         for s in range(len(b) - length + 1):
@@ -348,10 +354,20 @@ def plain_repeats(rows, length=100):
                 gone[s : s + length] = True
             seen.add(x)
         left = bytes(np.frombuffer(b, np.uint8)[~gone[:-1]])
-        out[i] = (len(b), int(gone.sum()), int((gone[1:] & ~gone[:-1]).sum() + gone[0]), hashlib.sha256(left).hexdigest())
+        out[i, text] = (len(b), int(gone.sum()), int((gone[1:] & ~gone[:-1]).sum() + gone[0]), hashlib.sha256(left).hexdigest())
     return out
 
 
+def found_repeats(spark, rows):
+    out = suffixes.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    return sorted((tuple(r[c] for c in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")) for r in out), key=repr)
+
+
+def wanted_repeats(rows):
+    plain = plain_repeats(rows)
+    return sorted(((i, *plain[i, t]) for i, t in rows), key=repr)
+
+
 def repeat_corpus(seed, n=120):
     rnd = random.Random(seed)
     word = lambda: "".join(rnd.choice("abcdeé") for _ in range(rnd.randint(1, 6)))
@@ -373,20 +389,15 @@ def test_repeats(spark, monkeypatch, small):
         monkeypatch.setattr(suffixes, "BLOCK_ROWS", 3)
         monkeypatch.setattr(suffixes, "BLOCK_BYTES", 2000)
         monkeypatch.setattr(suffixes, "PART_BYTES", 3000)
-        from poolwright.llm import stage
-
-        monkeypatch.setattr(stage, "BROADCAST_IDS", 1)
     rows = repeat_corpus(7 + small)
-    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffixes.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == plain_repeats(rows)
+    assert found_repeats(spark, rows) == wanted_repeats(rows)
 
 
 def test_a_passage_in_every_text(spark, monkeypatch):
     monkeypatch.setattr(suffixes, "BLOCK_ROWS", 10)
     passage = " ".join(f"p{i}" for i in range(60))
     rows = [(i, f"{i % 7}{passage}{i % 5} own{i} text{i * 31}") for i in range(200)]
-    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffixes.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == plain_repeats(rows)
+    assert found_repeats(spark, rows) == wanted_repeats(rows)
 
 
 def test_expansion_parts_as_sorting_does():
@@ -402,11 +413,19 @@ def test_expansion_parts_as_sorting_does():
         assert cut.tolist() == [i == 0 or keys[i] != keys[i - 1] for i in range(len(keys))]
 
 
-def test_repeats_messy(messy, empty):
+def test_documents_are_told_by_id_and_text(spark):
+    """Null ids, an id with several texts, and rows that are there twice."""
+    rnd = random.Random(5)
+    noise = lambda n: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    p, x, y, z = noise(200), noise(400), noise(400), noise(300)
+    rows = [(1, noise(50) + p), (None, noise(60) + p), (None, x), (7, noise(40) + p), (7, y), (7, z), (7, z), (2, z + "!"), (None, x + "tail"), (None, x + "tail"), (9, noise(150)), (9, noise(150)), (None, None), (None, "")]
+    rows += [(20 + i % 3, noise(30) + p[:120]) for i in range(9)] + [(None, noise(20) + q) for q in (y, y[50:], p)]
+    assert found_repeats(spark, rows) == wanted_repeats(rows)
+
+
+def test_repeats_messy(spark, messy, empty):
     out = suffixes.remove_repeats(messy)
-    assert out.count() == messy.count()
-    want = plain_repeats([(r["doc_id"], r["text"]) for r in messy.collect() if r["doc_id"] is not None])
-    for r in out.collect():
-        if r["doc_id"] is not None:
-            assert (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) == want[r["doc_id"]]
+    rows = [(r["doc_id"], r["text"]) for r in messy.collect()]
+    got = sorted((tuple(r[c] for c in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")) for r in out.collect()), key=repr)
+    assert got == wanted_repeats(rows)
     assert suffixes.remove_repeats(empty).count() == 0
