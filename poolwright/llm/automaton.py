@@ -116,7 +116,7 @@ class Tokens:
             self.at.append(at)
             self.distinct.append(distinct)
             self.first.append(at[first])
-            row = np.full(len(token), -1)
+            row = np.full(len(token), -1, np.int32)
             row[at] = inverse
             self.inverse.append(row)
             self.own.append(np.bincount(inverse, train[at], len(distinct)))

@@ -1,7 +1,7 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
 From each word of an item the shortest run of words that chance would produce
-at most ``CHANCE`` times in the whole corpus is a seed; chance is judged by the
+at most ``CHANCE`` times in the whole corpus, and that few items share, is a seed; chance is judged by the
 corpus counts of the words, not of the run, so a leaked passage cannot hide by
 being copied often.  Where a text has seeds of an item, the words around them
 are aligned with the item's words, and the score of the best local alignment
@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 from poolwright.llm import textnp
 
 CHANCE, SHORTEST, LONGEST = 1.0, 2, 8
+#: A run that more items share is made longer, as far as ``LONGEST``.
+ITEMS = 4
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: An alignment of the score of so many copied words counts in items of any
 #: length, if it has the least share of the score of a copy of its own span.
@@ -68,23 +70,34 @@ class Seeds:
     and a bit table that most other windows miss."""
 
     def __init__(self, block: list[tuple[int, np.ndarray]], total: int, vocabulary: np.ndarray, counts: np.ndarray):
-        rows: dict[int, list[tuple[np.uint64, int, int]]] = {}
-        for item, (_, hashes) in enumerate(block):
-            logs = np.log(np.maximum(counts[np.searchsorted(vocabulary, hashes)], 0.5) / max(total, 1))
-            for i in range(len(hashes)):
-                for n in range(min(SHORTEST, len(hashes)), LONGEST + 1):
-                    if i + n > len(hashes):
-                        break
-                    if np.log(max(total, 1)) + logs[i : i + n].sum() <= np.log(CHANCE) or n == min(LONGEST, len(hashes)):
-                        rows.setdefault(n, []).append((textnp.grams(hashes[i : i + n], n)[0], item, i))
-                        break
+        words, sizes = np.concatenate([h for _, h in block]), np.array([len(h) for _, h in block])
+        item = np.repeat(np.arange(len(block)), sizes)
+        place = np.arange(len(words)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        logs = np.log(np.maximum(counts[np.searchsorted(vocabulary, words)], 0.5) / max(total, 1))
+        sums = np.concatenate([[0.0], np.cumsum(logs)])
+        rows: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        left = np.ones(len(words), bool)  # places without a seed
+        for n in range(1, LONGEST + 1):
+            at = np.flatnonzero(left[: max(0, len(words) - n + 1)])
+            at = at[(place[at] + n <= sizes[item[at]]) & (n >= np.minimum(SHORTEST, sizes[item[at]]))]
+            if not len(at):
+                continue
+            grams = textnp.grams(words, n)
+            # Of all items that hold the run, wherever it is a seed or not.
+            whole = np.flatnonzero(place[: len(grams)] + n <= sizes[item[: len(grams)]])
+            distinct, items = np.unique(np.unique(np.stack([grams[whole], item[whole].astype(np.uint64)], 1), axis=0)[:, 0], return_counts=True)
+            rare = np.log(max(total, 1)) + sums[at + n] - sums[at] <= np.log(CHANCE)
+            few = items[np.searchsorted(distinct, grams[at])] <= ITEMS
+            take = at[(rare & few) | (n == np.minimum(LONGEST, sizes[item[at]]))]
+            left[take] = False
+            if len(take):
+                rows[n] = (grams[take], item[take], place[take])
         self.table = {}
-        for n, found in rows.items():
-            found.sort()
-            hashes = np.array([x[0] for x in found], np.uint64)
+        for n, (hashes, items, places) in rows.items():
+            by = np.lexsort((places, items, hashes))
             bits = np.zeros(1 << FILTER_BITS, bool)
             bits[hashes >> np.uint64(64 - FILTER_BITS)] = True
-            self.table[n] = (hashes, np.array([x[1] for x in found]), np.array([x[2] for x in found]), bits)
+            self.table[n] = (hashes[by], items[by], places[by], bits)
 
     def hits(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(word, item, word of the item) of each seed among the words."""
@@ -153,8 +166,9 @@ def find_leaks(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", tex
     ``least`` of the full one, or with the score of ``ENOUGH`` words and that
     share of a copy of its span; of equal ones the first place in the text.
 
-    Null or empty texts and items match nothing; repeated rows of documents
-    each give theirs, items that repeat an id each theirs.  Benchmark blocks
+    Null or empty texts and items, and items with a null id, match nothing;
+    repeated rows of documents each give theirs, items that repeat an id each
+    theirs.  Other columns are dropped, whatever their names.  Benchmark blocks
     are of bounded size and pass over the whole corpus one by one.
     """
     spark: SparkSession = docs.sparkSession
@@ -183,10 +197,11 @@ def seeds_of(docs: DataFrame, text_col: str, block: list[tuple[int, np.ndarray]]
 
 
 def drop_leaks(docs: DataFrame, items: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", least: float = 0.4) -> DataFrame:
-    """The rows of ``docs``, all columns, that hold no item of the benchmark."""
-    place = docs.columns.index(text_col)
+    """The rows of ``docs``, all columns, that hold no item of the benchmark.
+    Chance is judged by all of ``docs`` for every block."""
+    place, corpus = docs.columns.index(text_col), docs
     for block in blocks(items, item_col, item_text_col):
-        seeds = seeds_of(docs, text_col, block)
+        seeds = seeds_of(corpus, text_col, block)
 
         def clean(batches: Iterator[pa.RecordBatch], block=block, seeds=seeds) -> Iterator[pa.RecordBatch]:
             for batch in batches:

@@ -10,6 +10,7 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from poolwright.llm.graph import join_by_key
 from poolwright.llm.stage import materialize
 
 
@@ -67,23 +68,29 @@ def host_edges(pages: DataFrame, *, html_col: str = "html") -> DataFrame:
     return links.select("src", "dst").union(both).where("src <> dst and src <> '' and dst <> ''").groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, *, damping: float = 0.85, rounds: int = 20, at_once: int = 5, tolerance: float = 1e-9) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, *, damping: float = 0.85, at_once: int = 8, tolerance: float = 1e-4) -> DataFrame:
     """host, trust, distrust.  ``seeds``: host, good, bad (masses, each of sum
-    1 or 0).  Mass at a host without links on the way leaves the walk."""
+    1 or 0).  Mass at a host without links on the way leaves the walk.
+
+    Rounds go on until ``at_once`` of them change no mass by more than
+    ``tolerance`` of the least seed.  All change together shrinks by ``damping``
+    a round, so that takes about log(tolerance * least) / log(damping) of them.
+    """
     ways = edges.select(F.lit("trust").alias("way"), F.col("src").alias("a"), F.col("dst").alias("b"), "weight").union(
         edges.select(F.lit("distrust"), "dst", "src", "weight"))
     out = ways.groupBy("way", "a").agg(F.sum("weight").alias("out"))
     ways = materialize(ways.join(out, ["way", "a"]).select("way", "a", "b", (F.col("weight") / F.col("out")).alias("p")))
     start = materialize(seeds.select("host", F.explode(F.create_map(F.lit("trust"), F.col("good"), F.lit("distrust"), F.col("bad"))).alias("way", "seed")).where("seed > 0"))
     rank = start.select("way", "host", ((1 - damping) * F.col("seed")).alias("rank"))
-    for done in range(0, rounds, at_once):
+    least = start.agg(F.min("seed")).first()[0] or 1.0
+    while True:
         before = rank
-        for _ in range(min(at_once, rounds - done)):
+        for _ in range(at_once):
             moved = ways.join(rank.withColumnRenamed("host", "a"), ["way", "a"]).groupBy("way", F.col("b").alias("host")).agg((damping * F.sum(F.col("p") * F.col("rank"))).alias("rank"))
             rank = moved.union(start.select("way", "host", ((1 - damping) * F.col("seed")).alias("rank"))).groupBy("way", "host").agg(F.sum("rank").alias("rank"))
         rank = materialize(rank)
         step = rank.join(before.withColumnRenamed("rank", "old"), ["way", "host"], "left").agg(F.max(F.abs(F.col("rank") - F.coalesce("old", F.lit(0.0))))).first()[0]
-        if (step or 0.0) <= tolerance:
+        if (step or 0.0) <= tolerance * least:
             break
     mass = lambda way: F.coalesce(F.sum(F.when(F.col("way") == way, F.col("rank"))), F.lit(0.0)).alias(way)
     return rank.groupBy("host").agg(mass("trust"), mass("distrust"))
@@ -93,7 +100,8 @@ def filter_urls(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "ur
     """page_id, host, path, rule, verdict, trust, distrust for every row.
 
     A rule's verdict stands; else the host's; a host without seeds, links or
-    name is allowed.  Repeated rows stay and count as further pages.
+    name is allowed.  Repeated rows stay and count as further pages, null ids
+    and urls of any length too; other columns are dropped, whatever their names.
     """
     host, path = parts(F.col(url_col))
     own = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
@@ -103,6 +111,6 @@ def filter_urls(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "ur
     seeds = per.select("host", (F.col("a") / float(total[0] or 1)).alias("good"), (F.col("b") / float(total[1] or 1)).alias("bad"))
     edges = materialize(host_edges(pages.select(host.alias("host"), F.col(html_col).alias("html"))))
     scores = propagate(edges, seeds)
-    out = own.join(scores, "host", "left").na.fill(0.0, ["trust", "distrust"])
+    out = join_by_key(own, materialize(scores), "host").na.fill(0.0, ["trust", "distrust"])
     bad = (F.col("distrust") > 0) & (F.col("trust") < least_trust * (F.col("trust") + F.col("distrust")))
     return out.select("page_id", "host", "path", "rule", F.coalesce("ruled", F.when(bad, "block").otherwise("allow")).alias("verdict"), "trust", "distrust")

@@ -10,6 +10,7 @@ shrinks until none does, or (``fill``) that cell is taken whole and the others
 make up for it, so one rare cell does not decide the size of the sample.
 """
 
+import warnings
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -19,6 +20,10 @@ from poolwright.llm.stage import materialize
 
 #: Marginals: shares by value (values left out get the mean share of those
 #: named), or an exponent that tempers the observed shares.
+#: Sweeps after which a gap that hasn't shrunk by a hundredth is taken to stay.
+STALLED = 10
+#: Names that a dimension must not have.
+TAKEN = {"doc_id", "n_tokens", "tokens", "weight", "target", "wish", "v", "x", "probability", "sampled", "_off", "_sum", "_factor"}
 TARGETS: dict[str, Mapping[str, float] | float] = {"source": 0.7, "lang": {"en": 0.55, "de": 0.15, "fr": 0.15, "es": 0.15}, "topic": 0.9}
 
 
@@ -87,10 +92,11 @@ def goals(cells: DataFrame, dim: str, target: Mapping[str, float] | float, budge
     return seen.select(dim, (F.when(F.col("wish") > 0, F.least(F.col("x"), F.col("wish") * F.lit(scale))).otherwise(0.0) / budget).alias("target"))
 
 
-def rake(cells: DataFrame, targets: Mapping[str, Mapping[str, float] | float], *, budget: float | None = None, tolerance: float = 1e-11, sweeps: int = 40) -> DataFrame:
+def rake(cells: DataFrame, targets: Mapping[str, Mapping[str, float] | float], *, budget: float | None = None, tolerance: float = 1e-11) -> DataFrame:
     """``cells`` (dimensions, tokens > 0) with ``weight``, of sum 1, whose sums
-    per value are the targets to within ``tolerance`` or as near as the cells
-    that exist allow after ``sweeps``.  No cells: no rows.
+    per value are the targets to within ``tolerance``.  Where the cells that
+    exist do not allow that, sweeps end when the gap no longer shrinks, with a
+    warning that tells the gap.  No cells: no rows.
 
     With a ``budget`` of tokens a cell counts up to the share that it can fill,
     and targets are ``goals``.  Each step reads the cells twice, so it is
@@ -100,15 +106,20 @@ def rake(cells: DataFrame, targets: Mapping[str, Mapping[str, float] | float], *
     total = cells.agg(F.sum("tokens")).first()[0] or 1
     cells = cells.withColumn("weight", F.col("tokens") / F.lit(float(total)))
     counted = F.col("weight") if budget is None else F.least(F.col("weight"), F.col("tokens") / F.lit(budget))
-    for _ in range(sweeps):
+    gaps: list[float] = []
+    while True:
         cells = cells.withColumn("_off", F.lit(0.0))
         for d, wish in wished.items():
             sums = cells.groupBy(d).agg(F.sum(counted).alias("_sum")).join(wish, d).select(d, F.when(F.col("_sum") > 0, F.col("target") / F.col("_sum")).otherwise(0.0).alias("_factor"))
             cells = materialize(cells.join(sums, d).withColumns({"weight": F.col("weight") * F.col("_factor"), "_off": F.greatest("_off", F.abs(F.col("_factor") - 1))}).drop("_factor"))
         off = cells.agg(F.max("_off")).first()[0] or 0.0
         cells = cells.drop("_off")
+        gaps.append(off)
         if off <= tolerance:
             break
+        if len(gaps) > STALLED and off > 0.99 * gaps[-1 - STALLED]:
+            warnings.warn(f"the cells that exist miss their targets by a factor of up to 1 + {off:.3g}", stacklevel=2)
+            break
     return cells
 
 
@@ -126,10 +137,14 @@ def calibrate(docs: DataFrame, *, targets: Mapping[str, Mapping[str, float] | fl
     or less where a cell would need more tokens than it has.  With ``fill`` they
     are ``keep`` of all even then: such a cell is taken whole, values that a
     target leaves out keep their observed share, the marginals are as near as
-    that allows, and probabilities are not rounded.  Rows without tokens have
-    the probability 0.  Rows with one id share their draw.
+    that allows.  Without it probabilities are told to nine places, and draws
+    use them in full.  Rows without tokens have the probability 0.  Rows with
+    one id share their draw.  Other columns of ``docs`` are dropped, whatever
+    their names; a dimension called as in ``TAKEN`` is an error.
     """
     targets = targets or TARGETS
+    if clash := TAKEN.intersection(targets, dims or ()):
+        raise ValueError(f"names that a dimension must not have: {sorted(clash)}")
     rows = materialize(weigh(docs, id_col=id_col, text_col=text_col, dims=dims))
     dims_ = list(targets)
     cells = materialize(rows.where("n_tokens > 0").groupBy(*dims_).agg(F.sum("n_tokens").alias("tokens")))
@@ -142,6 +157,7 @@ def calibrate(docs: DataFrame, *, targets: Mapping[str, Mapping[str, float] | fl
         raked = rake(cells, targets)
         bound = raked.agg(F.sum("tokens").alias("all"), F.min(F.col("tokens") / F.col("weight")).alias("most")).first()
         budget = min(keep * float(bound["all"]), float(bound["most"])) if bound["all"] else 0.0
-        chance = raked.select(*dims_, F.round(F.least(F.lit(1.0), F.col("weight") * budget / F.col("tokens")), 6).alias("probability"))
+        chance = raked.select(*dims_, F.least(F.lit(1.0), F.col("weight") * budget / F.col("tokens")).alias("probability"))
     out = rows.join(chance, dims_, "left").withColumn("probability", F.when(F.col("n_tokens") > 0, F.col("probability")).otherwise(0.0))
-    return out.withColumn("sampled", draw(F.col("doc_id"), seed) < F.col("probability"))
+    out = out.withColumn("sampled", draw(F.col("doc_id"), seed) < F.col("probability"))
+    return out if fill else out.withColumn("probability", F.round("probability", 9))

@@ -41,8 +41,10 @@ rep AS (SELECT r, sum(least(5, next - i))::BIGINT AS n FROM (SELECT r, i, lead(i
 f0 AS (SELECT doc_id, lines.r, stratum, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols, len(l)::BIGINT AS n_lines,
   (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words FROM lines LEFT JOIN rep ON rep.r = lines.r),
 f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM f0),
-long AS ({long}),
+long0 AS ({long}),
 good AS (SELECT doc_id FROM labels GROUP BY doc_id HAVING min(coalesce(quality, 0)) = 1),
+big AS (SELECT stratum FROM f WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM good) GROUP BY stratum HAVING count(*) >= ln({delta} / ({len(RULES)} * (SELECT count(DISTINCT stratum) FROM f WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM good)))) / ln(1 - {alpha})),
+long AS (SELECT * REPLACE (CASE WHEN stratum IN (SELECT stratum FROM big) THEN stratum ELSE '(pooled)' END AS stratum) FROM long0),
 tally AS (SELECT stratum, rule, c AS cutoff, count(*) AS n, count(*) FILTER (value > c) AS k FROM long, (SELECT unnest({GRID}) AS c) WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM good) GROUP BY ALL),
 m AS (SELECT count(DISTINCT stratum || '/' || rule) AS m FROM tally),
 tail AS (SELECT stratum, rule, cutoff, list_sum([exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({alpha}) + (n - i) * ln(1 - {alpha})) FOR i IN range(0, k + 1)]) AS p FROM tally WHERE k <= {alpha} * n),
@@ -103,11 +105,11 @@ w0 AS MATERIALIZED (SELECT *, tokens / sum(tokens) OVER () AS weight FROM c),
 {", ".join(steps)},
 b AS (SELECT least({keep} * sum(tokens), min(tokens / weight)) AS budget FROM {last}),
 p AS (SELECT source, lang, topic, least(1.0, weight * budget / tokens) AS p FROM {last}, b),
-o AS (SELECT d.*, CASE WHEN n_tokens > 0 THEN round(p, 6) ELSE 0.0 END AS probability FROM d LEFT JOIN p USING (source, lang, topic))
-SELECT *, ('0x' || md5('{seed}:' || coalesce(doc_id::VARCHAR, ''))[1:13])::BIGINT / 4503599627370496.0::DOUBLE < probability AS sampled FROM o"""
+o AS (SELECT d.*, CASE WHEN n_tokens > 0 THEN p ELSE 0.0 END AS p FROM d LEFT JOIN p USING (source, lang, topic))
+SELECT * EXCLUDE (p), round(p, 9) AS probability, ('0x' || md5('{seed}:' || coalesce(doc_id::VARCHAR, ''))[1:13])::BIGINT / 4503599627370496.0::DOUBLE < p AS sampled FROM o"""
 
 
-def url_filters(least_trust: float = 0.3, damping: float = 0.85, rounds: int = 20) -> str:
+def url_filters(least_trust: float = 0.3, damping: float = 0.85, rounds: int = 120) -> str:
     fits = " ".join(f"WHEN (host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}') THEN {{'rule': '{r}', 'verdict': '{r.verdict}'}}" for r in sorted(hosts.RULES, key=lambda r: (-len(str(r)), str(r))))
     link = r"""(?i)\bhref\s*=\s*["'']?\s*(?:https?:)?//([^/?#"''\s<>]+)"""
     steps, last = [], "r0"
@@ -146,7 +148,7 @@ SELECT d.doc_id, n::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed, coal
 
 ORACLE_SQL: dict[str, str] = {
     "op1_near_duplicates": near_duplicates(85),
-    "op2_quality_rules": quality_rules(0.02, 0.05),
+    "op2_quality_rules": quality_rules(0.05, 0.1),
     "op3_secret_scans": secret_scans(),
     "op3_secret_ledger": secret_ledger(),
     "op4_mix_sources": mix(0.5, "mix"),

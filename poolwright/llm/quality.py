@@ -9,8 +9,15 @@ rule in use rejects more than ``alpha`` of the good documents of any stratum,
 and all rules together no more than ``false_rejection``.  Along one rule the
 cutoffs go from loose to tight and stop at the first failure (fixed sequence),
 so they need no correction of their own.
+
+A stratum with too few good documents for any cutoff to pass, whatever it
+rejects, is judged in one pool with the others of its kind; there the bound
+holds for the pool.
 """
 
+import math
+
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from poolwright.llm.stage import materialize
@@ -30,6 +37,10 @@ RULES = {
 }
 
 
+#: The stratum of those with few good documents.
+POOL = "(pooled)"
+
+
 def words(text: Column) -> Column:
     """Words of a text that is not null; none for a blank text."""
     trimmed = F.btrim(text, F.lit(SPACES))
@@ -109,11 +120,16 @@ def judge(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
           false_rejection: float = 0.02, delta: float = 0.05) -> DataFrame:
     """The signals of every row of ``docs`` with base_failed, kept and the
     rules that rejected it.  Labels: doc_id and quality; a document is good if
-    all its labels say 1, null labels count as not good.
+    all its labels say 1, null labels count as not good.  ``stratum`` is the one
+    by which a row was judged.
     """
     feats = materialize(signals(docs, id_col=id_col, text_col=text_col, stratum=stratum).withColumn("base_failed", base_failed()))
     good = labels.groupBy("doc_id").agg(F.min(F.coalesce("quality", F.lit(0))).alias("q")).where("q = 1").select("doc_id")
-    cutoffs = certified_cutoffs(feats.where(~F.col("base_failed")).join(good, "doc_id", "left_semi"), false_rejection=false_rejection, delta=delta)
+    holdout = materialize(feats.where(~F.col("base_failed")).join(good, "doc_id", "left_semi"))
+    sizes = holdout.groupBy("stratum").count()
+    alone = materialize(sizes.where(F.col("count") >= math.log(delta / (len(RULES) * max(1, sizes.count()))) / math.log1p(-false_rejection / len(RULES))).select(F.col("stratum").alias("_alone")))
+    pooled = lambda rows: rows.join(alone, F.col("stratum") == F.col("_alone"), "left").withColumn("stratum", F.coalesce("_alone", F.lit(POOL))).drop("_alone")
+    cutoffs, feats = certified_cutoffs(pooled(holdout), false_rejection=false_rejection, delta=delta), pooled(feats)
     hits = F.filter(F.array(*(F.when(F.expr(v) > F.try_element_at("cutoffs", F.lit(k)), F.lit(k)) for k, v in RULES.items())), lambda x: x.isNotNull())
     out = feats.join(cutoffs, "stratum", "left").withColumn("rejected_by", F.when(F.col("cutoffs").isNull(), F.array().cast("array<string>")).otherwise(hits))
     return out.withColumn("kept", ~F.col("base_failed") & (F.size("rejected_by") == 0)).drop("cutoffs")

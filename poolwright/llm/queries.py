@@ -13,7 +13,8 @@ def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), stratum=F.col("lang"))
+    """At most 5 % of the good documents of a language rejected, with 90 % confidence."""
+    out = quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), stratum=F.col("lang"), false_rejection=0.05, delta=0.1)
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 

@@ -51,3 +51,21 @@ def test_run_and_purge(spark):
 
 def test_all_are_registered():
     assert {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 11)}
+
+
+@pytest.mark.parametrize("which", ["messy", "empty"])
+def test_stages_on_odd_tables(spark, which, request, tmp_path):
+    """Nulls in every column, repeated rows, very long texts; and no row at all."""
+    docs = request.getfixturevalue(which)
+    spark.createDataFrame([(1, None), (None, "a b c"), (2, "alpha beta gamma delta epsilon zeta eta theta iota kappa")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    sizes = []
+    for name, stage in corpus_pipeline.STAGES:
+        after = materialize(stage(spark, docs, str(tmp_path)))
+        if name != "mixing_sources":
+            assert after.columns == docs.columns, name
+        sizes.append(after.count())
+        docs = after
+    if which == "empty":
+        assert sizes == [0] * 5
+    else:
+        assert sizes[0] > sizes[1] > 0 and sizes[2] == sizes[3]

@@ -273,6 +273,25 @@ def test_blocks_of_items(spark, monkeypatch):
     assert sorted(map(tuple, decontaminate.find_leaks(df, bench).collect())) == whole
 
 
+def test_seeds_that_many_items_share(spark):
+    """A common beginning is a seed only as long as it must be; what tells items
+    apart finds them, and leaks do not depend on how items are blocked."""
+    rnd = random.Random(12)
+    head = "please read the text below and answer the question that follows in one word"
+    items = [(i, head + " " + " ".join(rnd.choice("abcdefghijklmnop") * 3 + str(rnd.randrange(50)) for _ in range(25))) for i in range(40)]
+    block = [(i, textnp.words(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())])).hash) for i, t in items]
+    vocabulary = np.unique(np.concatenate([h for _, h in block]))
+    seeds = decontaminate.Seeds(block, 10**6, vocabulary, np.ones(len(vocabulary), np.int64))
+    for n, (hashes, _, _, _) in seeds.table.items():
+        shared = [c for c in Counter(hashes.tolist()).values() if c > decontaminate.ITEMS]
+        assert n == decontaminate.LONGEST or not shared
+    docs = spark.createDataFrame([(i, f"x{i} " * 30 + t + f" y{i}" * 30) for i, t in items] + [(100, head + " nothing of it"), (101, "clean " * 50)], "doc_id long, text string")
+    table = spark.createDataFrame(items, "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(docs, table, least=0.6).collect()}
+    assert found == {(i, i) for i in range(40)}
+    assert {r["doc_id"] for r in decontaminate.drop_leaks(docs, table, least=0.6).collect()} == {100, 101}
+
+
 def test_leaks_messy(spark, messy, empty):
     bench = spark.createDataFrame([(1, None), (2, ""), (None, "x"), (3, "lost id text of some words here"), (4, "one"), (4, "a b c d")], "item_id long, text string")
     got = sorted(((r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(messy, bench).collect()), key=repr)
@@ -309,6 +328,72 @@ def test_evidence_fuses(spark):
     assert not out[205]["kept"] and not out[206]["kept"] and out[204]["declared"] == "de" and out[203]["suffix"] == "de"
 
 
+def plain_identify(records, trained, least=0.6):
+    """(id, text, declared, host, suffix) judged by dictionaries; ``trained``:
+    (text, language).  Returns id -> language, posterior, kept."""
+    grams = lambda t: [int(x) for x in langid.buckets(np.frombuffer((t or "").encode(), np.uint8))] if len((t or "").encode()) > 2 else []
+    langs = sorted({x for _, x in trained})
+    counts = {x: Counter(g for t, y in trained if y == x for g in grams(t)) for x in langs}
+    total = {x: sum(counts[x].values()) + 0.05 * langid.BUCKETS for x in langs}
+    log_p = lambda g, x: math.log((counts[x][g] + 0.05) / total[x])
+    ll = [[sum(log_p(g, x) for g in grams(t)) for x in langs] for _, t, *_ in records]
+    size, floor = [len((r[1] or "").encode()) for r in records], -math.log(langid.BUCKETS)
+    top = [l.index(max(l)) if n >= 20 and max(l) > floor * n else None for l, n in zip(ll, size)]
+
+    def tally(values):
+        out = {}
+        for v, t in zip(values, top):
+            if v is not None and t is not None:
+                out.setdefault(v, [0.0] * len(langs))[t] += 1
+        return out
+
+    def smooth(c, above):
+        return [(x + langid.PRIOR * p) / (sum(c) + langid.PRIOR) for x, p in zip(c, above)]
+
+    by_host = tally([r[3] for r in records])
+    add = lambda rows: [sum(c) for c in zip(*rows)]
+    whole = [x + langid.CELL for x in add(by_host.values())]
+    whole = [x / sum(whole) for x in whole]
+    domain = lambda h: ".".join(h.split(".")[-2:])
+    tops = {k: smooth(add(c for h, c in by_host.items() if h.split(".")[-1] == k), whole) for k in {h.split(".")[-1] for h in by_host}}
+    domains = {k: smooth(add(c for h, c in by_host.items() if domain(h) == k), tops[k.split(".")[-1]]) for k in {domain(h) for h in by_host}}
+    priors = {h: smooth(c, domains[domain(h)]) for h, c in by_host.items()}
+
+    def confusion(values):
+        rows = tally(values)
+        sums = [x + langid.CELL * (len(rows) + 1) for x in add(rows.values())] if rows else []
+        return {v: [(x + langid.CELL) / s for x, s in zip(c, sums)] for v, c in rows.items()}
+
+    declared, suffix = confusion([r[2] for r in records]), confusion([r[4] for r in records])
+    out = {}
+    for r, l, n in zip(records, ll, size):
+        one = [1.0] * len(langs)
+        fused = [langid.TEMPER * a + math.log(p) + math.log(d) + math.log(s) for a, p, d, s in zip(l, priors.get(r[3], whole), declared.get(r[2], one), suffix.get(r[4], one))]
+        share = [math.exp(x - max(fused)) for x in fused]
+        post = round(1 / sum(share), 6)
+        out[r[0]] = (langs[fused.index(max(fused))], post, n >= 3 and max(l) > floor * n and post >= least)
+    return out
+
+
+def test_langid_against_plain_counts(spark):
+    rnd = random.Random(21)
+    stems = {"en": ["the", "house", "with", "water"], "de": ["das", "haus", "mit", "wasser"], "fr": ["la", "maison", "avec", "eau"]}
+    text = lambda x, n: " ".join(rnd.choice(stems[x]) + rnd.choice(["", "s", "e"]) for _ in range(n))
+    trained = [(i, text(x, 30), x) for i, x in enumerate(list(stems) * 20)]
+    model = langid.fit(spark.createDataFrame(trained, "doc_id long, text string, lang string"))
+    hosts_ = ["a.x.org", "b.x.org", "y.de", "host", None]
+    records = [(i, rnd.choice([text(rnd.choice(list(stems)), rnd.randint(0, 40)), "zq", None, "12 34 56 78 90 12 34 56", "дом " * 9]), rnd.choice(["en", "de", "xx", None]), rnd.choice(hosts_), rnd.choice(["org", "de", None])) for i in range(300)]
+    df = spark.createDataFrame([(i, t, d, h, s) for i, t, d, h, s in records], "doc_id long, text string, declared string, host string, suffix string")
+    want = plain_identify(records, [(t, x) for _, t, x in trained])
+    got = {r["doc_id"]: r for r in langid.identify(df, model).collect()}
+    for i, (language, posterior, kept) in want.items():
+        assert got[i]["posterior"] == pytest.approx(posterior, abs=2e-4), records[i]
+        if abs(posterior - 0.6) > 1e-3:
+            assert got[i]["kept"] == kept, records[i]
+        if posterior > 0.51:
+            assert got[i]["language"] == language
+
+
 def test_langid_messy(spark, messy, empty):
     model = langid.fit(messy)
     assert set(model.languages) == {"de", "en", "es", "fr"}
