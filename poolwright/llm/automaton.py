@@ -32,6 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
 from poolwright.llm import textnp
+from poolwright.llm.stage import frugal
 
 #: Text bytes of a batch, batches per part of the automaton, tokens that a text
 #: is walked in one go, and K for states of one word, two, and so on.
@@ -305,6 +306,7 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     ``held_out`` counts as false; repeated rows train and score each, no rows
     give no rows.  Other columns are dropped, whatever their names.
     """
+    frugal(docs.sparkSession)
     held_out = F.lit(False) if held_out is None else held_out
     size = docs.agg(F.sum(F.octet_length(text_col) + 16)).first()[0] or 0
     batches = max(1, -(-size // batch_bytes))

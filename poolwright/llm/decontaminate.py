@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from poolwright.llm import textnp
+from poolwright.llm.stage import frugal
 
 CHANCE, SHORTEST, LONGEST = 1.0, 2, 8
 #: A run that more items share is made longer, as far as ``LONGEST``.
@@ -191,6 +192,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", tex
 
 
 def seeds_of(docs: DataFrame, text_col: str, block: list[tuple[int, np.ndarray]]) -> Seeds:
+    frugal(docs.sparkSession)
     vocabulary = np.unique(np.concatenate([h for _, h in block]))
     total, counts = word_counts(docs, text_col, vocabulary)
     return Seeds(block, total, vocabulary, counts)

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from poolwright.llm import textnp
 from poolwright.llm.graph import join_by_key
-from poolwright.llm.stage import PLACE, materialize, placed, without
+from poolwright.llm.stage import PLACE, frugal, materialize, placed, without
 
 BUCKETS = 1 << 16
 #: At most so many declared texts of a language are expected in the sample
@@ -96,6 +96,7 @@ def _log_shares(rows: DataFrame, some: slice) -> np.ndarray:
 def text_scores(records: DataFrame, model: Model) -> DataFrame:
     """``records`` with the column text replaced by n_bytes and ``ll``, the
     log-likelihoods of the whole text by language."""
+    frugal(records.sparkSession)
     kept = [f for f in records.schema.fields if f.name != "text"]
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept) + ", n_bytes long, ll array<double>"
     width, log_p = len(model.languages), model.log_p

@@ -257,7 +257,7 @@ def full_sets(rows: DataFrame, wanted: DataFrame, text_col: str) -> DataFrame:
     place of one of their texts), a written table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in textnp.slices(batches, 500):
             blobs = [s.astype("<u8").tobytes() for _, _, data, offsets in textnp.chunks(batch.column(1)) for s in textnp.gram_sets(textnp.words(data, offsets), SHINGLE)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(blobs, pa.binary())], ["cid", "set"])
 

@@ -42,6 +42,14 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def frugal(spark: SparkSession, rows: int = 2000) -> None:
+    """Arrow batches of at most ``rows`` rows in this session from now on, so that
+    a task holds few texts at once; a smaller setting stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, rows)
+
+
 def _delete_at_end(spark: SparkSession) -> None:
     """Let the folder of this application go when the driver ends."""
     root = stage_root(spark)
@@ -59,6 +67,7 @@ def placed(rows: DataFrame) -> DataFrame:
     """_file, _row and ``_all``, the row as a struct.  A place names one row and
     is the same in every scan.  Rows that no plain scan of files gives are
     written first."""
+    frugal(rows.sparkSession)
     plan = rows._jdf.queryExecution().analyzed()
     while plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
         plan = plan.children().head()
