@@ -11,7 +11,7 @@ from functools import reduce
 from operator import and_, or_
 from typing import Any
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, SparkSession, functions as F
 
 from poolwright.errors import ConfigError, JsonValueError
 from poolwright.functions.predicate import Predicate
@@ -417,6 +417,15 @@ def compare_exactly(i: Column, d: Column) -> Column:
 
 
 def as_variant(c: Column) -> Column:
-    """JSON text as a variant; of a repeated key the last value if the session
-    sets spark.sql.variant.allowDuplicateKeys.  Malformed text is null."""
+    """JSON text as a variant; of a repeated key the last value counts, for which
+    the session's spark.sql.variant.allowDuplicateKeys is set from now on.
+    Malformed text is null."""
+    session = SparkSession.getActiveSession()
+    if session is not None:
+        session.conf.set("spark.sql.variant.allowDuplicateKeys", True)
     return F.try_parse_json(c)
+
+
+def as_json(c: Column) -> Column:
+    """A variant as JSON text, or null."""
+    return F.to_json(c)

@@ -94,7 +94,10 @@ class Pool:
         self.store = Held(spark) if store is None else store
         self._write, self._flights, self._flight_lock = threading.RLock(), {}, threading.Lock()
         self._state = m.resident(spark.createDataFrame([], model.schema))
-        self._epoch, self._suppressed, self._reserved, self._touched = 0, set(), set(), {}
+        held = self.store.current(self._state.schema)
+        self._state = self._state if held is None else held
+        self._epoch = 0 if held is None else held.agg(F.max("_epoch")).first()[0] or 0
+        self._suppressed, self._reserved, self._touched = set(), set(), {}
         self.version = 0
 
     # reading

@@ -124,11 +124,39 @@ def flat_map_rows(of: Callable[[dict], Iterable[dict]]) -> Step:
 
 
 def take(n: int) -> Step:
-    return lambda o: Ordered(o.df.orderBy(*o.order).limit(n), o.columns, o.depth)
+    return Slice(0, n)
 
 
 def skip(n: int) -> Step:
-    return lambda o: Ordered(o.df.orderBy(*o.order).offset(n), o.columns, o.depth)
+    """All but the first ``n`` rows.  With a ``take`` next to it both are one
+    top-n; alone, one task counts the rows off after a sort."""
+    return Slice(n, None)
+
+
+class Slice:
+    """The rows from place ``first`` on, ``many`` of them or all."""
+
+    def __init__(self, first: int, many: int | None):
+        self.first, self.many = first, many
+
+    def __call__(self, o: Ordered) -> Ordered:
+        rows = o.df.orderBy(*o.order)
+        rows = rows if self.many is None else rows.limit(self.first + self.many)
+        return Ordered(rows.offset(self.first) if self.first else rows, o.columns, o.depth)
+
+    def then(self, other: Slice) -> Slice:
+        left = None if self.many is None else max(0, self.many - other.first)
+        many = left if other.many is None else other.many if left is None else min(left, other.many)
+        return Slice(self.first + other.first, many)
+
+
+def _joined(steps: Iterable[Step]) -> list[Step]:
+    """The steps, slices that follow each other as one."""
+    out: list[Step] = []
+    for step in steps:
+        both = out and isinstance(out[-1], Slice) and isinstance(step, Slice)
+        out[-1:] = [out[-1].then(step)] if both else [*out[-1:], step]
+    return out
 
 
 def chain(rows: DataFrame | Iterable[dict]) -> Step:
@@ -332,7 +360,7 @@ class Scope:
         df = self._source()
         columns = [c for c in df.columns if not c.startswith("_")]
         out = Ordered(df, columns, 0).select([F.col(f"`{k}`") for k in self._keys])
-        for step in self._steps:
+        for step in _joined(self._steps):
             out = step(out)
         return out
 

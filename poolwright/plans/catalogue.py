@@ -453,7 +453,8 @@ def heatmap_like(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shots.heatmap(points, 11, 7)
 
 
-@query("SELECT p_partkey, regexp_matches(lower(p_type), '(^|[^a-z0-9])economy[^a-z0-9]+anodized([^a-z0-9]|$)') AS adjacent, p_brand || ' #' || p_partkey AS label, printf('%.2f avg', p_retailprice) AS price FROM part")
+@query("SELECT p_partkey, regexp_matches(translate(CASE WHEN p_partkey % 3 = 0 THEN 'a One' WHEN p_partkey % 3 = 1 THEN 'ONE - ' ELSE p_name END || CASE WHEN p_partkey % 2 = 0 THEN '-Timer!' ELSE 'timers' END, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '(^|[^a-z0-9])one[^a-z0-9]+timer([^a-z0-9]|$)') AS adjacent, p_brand || ' #' || p_partkey AS label, printf('%.2f avg', p_retailprice) AS price FROM part")
 def token_match_and_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    adjacent = F.regexp_like(ascii_folded(F.col("p_type")), F.lit("(^|[^a-z0-9])economy[^a-z0-9]+anodized([^a-z0-9]|$)"))
+    kind = F.concat(F.when(F.col("p_partkey") % 3 == 0, "a One").when(F.col("p_partkey") % 3 == 1, "ONE - ").otherwise(F.col("p_name")), F.when(F.col("p_partkey") % 2 == 0, "-Timer!").otherwise("timers"))
+    adjacent = shots.one_timer(kind)
     return table(spark, sf_dir, "part").select("p_partkey", adjacent.alias("adjacent"), F.format_string("%s #%d", "p_brand", "p_partkey").alias("label"), F.format_string("%.2f avg", "p_retailprice").alias("price"))

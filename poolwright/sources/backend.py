@@ -109,8 +109,12 @@ class MemoryBackend(Backend):
 
 class ParquetBackend(Backend):
     """A folder for each keyspace with versions of it.  A version is written
-    whole under its own name and then named by the pointer file, which a rename
-    replaces, so readers see the old version or the new one."""
+    whole under its own name and then named by a numbered pointer file, which
+    appears by a rename; the greatest number is the current one, so readers see
+    the old version or the new one.  The last ``KEEP`` stay for readers that
+    hold them.  Of two writers of one number the later one fails."""
+
+    KEEP = 3
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -123,25 +127,28 @@ class ParquetBackend(Backend):
         return f"{self.root}/{keyspace(namespace, model.name)}"
 
     def _current(self, space: str) -> str | None:
-        fs, pointer = self._fs(f"{space}/CURRENT")
-        if not fs.exists(pointer):
-            return None
-        return self.spark.read.text(pointer.toString()).first()[0]
+        found = self._pointers(space)
+        return self.spark.read.text(f"{space}/pointers/{found[-1]}").first()[0] if found else None
+
+    def _pointers(self, space: str) -> list[str]:
+        fs, folder = self._fs(f"{space}/pointers")
+        return sorted(x.getPath().getName() for x in fs.listStatus(folder)) if fs.exists(folder) else []
 
     def _publish(self, space: str, rows: DataFrame) -> None:
-        version, old = uuid.uuid4().hex, self._current(space)
+        version, held = uuid.uuid4().hex, self._pointers(space)
         rows.write.parquet(f"{space}/{version}")
-        fs, pointer = self._fs(f"{space}/CURRENT")
-        made, temporary = self._fs(f"{space}/CURRENT.{version}")[1], None
+        fs, made = self._fs(f"{space}/CURRENT.{version}")
         out = fs.create(made)
         out.write(bytearray(version.encode()))
         out.close()
-        if fs.exists(pointer):
-            temporary = fs.delete(pointer, False)
-        if not fs.rename(made, pointer):
-            raise BackendError(f"could not publish {space}: {temporary}")
-        if old:
-            fs.delete(self._fs(f"{space}/{old}")[1], True)
+        pointer = self._fs(f"{space}/pointers/{int(held[-1]) + 1 if held else 1:012d}")[1]
+        fs.mkdirs(pointer.getParent())
+        if fs.exists(pointer) or not fs.rename(made, pointer):
+            raise BackendError(f"another writer has published {space}")
+        for name in held[: 1 - self.KEEP]:
+            gone = self.spark.read.text(f"{space}/pointers/{name}").first()[0]
+            fs.delete(self._fs(f"{space}/pointers/{name}")[1], True)
+            fs.delete(self._fs(f"{space}/{gone}")[1], True)
 
     def _read(self, model: Model, namespace: str | None) -> DataFrame:
         space = self._space(model, namespace)

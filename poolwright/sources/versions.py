@@ -6,9 +6,14 @@ before the pool points to it, the log grows by a folder for each version, and
 neither rows nor events pass through the driver.
 """
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 from pyspark.sql import types as T
 
+from poolwright.errors import ConfigError
+
 ORDER = "_seq"
 
 
@@ -17,10 +22,26 @@ def counts_of(events: DataFrame) -> dict[str, int]:
     return {(r["kind"], r["reason"]): r["count"] for r in events.groupBy("kind", "reason").count().collect()}
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A folder under the one that ``spark.checkpoint.dir`` names for all
+    executors; in local mode one of this machine where that is unset."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        if not spark.sparkContext.master.startswith(("local[", "local")) or spark.sparkContext.master.startswith("local-cluster"):
+            raise ConfigError("set spark.checkpoint.dir to a folder shared by all executors")
+        root = tempfile.mkdtemp(prefix="poolwright-")
+        spark.sparkContext.setCheckpointDir(root)
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 class Held:
     def __init__(self, spark: SparkSession):
         self.spark, self._log = spark, []
 
+    def current(self, schema: T.StructType) -> DataFrame | None:
+        """A pool in the driver begins empty."""
+        return None
+
     def save(self, state: DataFrame) -> DataFrame:
         return self.spark.createDataFrame(state.collect(), state.schema)
 
@@ -41,19 +62,43 @@ class Held:
 
 class Tables:
     """Versions under ``root``/state, events under ``root``/events; the last
-    ``keep`` versions stay for readers that hold them."""
+    ``keep`` versions stay for readers that hold them.  A folder that has
+    versions is opened at the last one whose events are there too; what a
+    writer that ended early has left beyond it is deleted."""
 
     def __init__(self, spark: SparkSession, root: str, *, keep: int = 3):
         self.spark, self.root, self.keep = spark, root.rstrip("/"), keep
-        self._version = self._events = 0
+        states, logs = self._whole("state"), self._whole("events")
+        self._version = max(states & logs, default=0)
+        for kind in ("state", "events"):
+            for v in self._whole(kind, whole=False):
+                if v > self._version:
+                    self._delete(f"{self.root}/{kind}/v{v:09d}")
+        last = self.changelog().agg(F.max(ORDER)).first()[0] if self._version else None
+        self._events = 0 if last is None else last + 1
+
+    def _whole(self, kind: str, *, whole: bool = True) -> set[int]:
+        """Numbers of the folders that are there, or of those written whole."""
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{kind}")
+        fs = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        names = [x.getPath().getName() for x in fs.listStatus(folder)] if fs.exists(folder) else []
+        done = self.spark._jvm.org.apache.hadoop.fs.Path
+        return {int(n[1:]) for n in names if n.startswith("v") and (not whole or fs.exists(done(f"{self.root}/{kind}/{n}/_SUCCESS")))}
+
+    def _delete(self, path: str) -> None:
+        gone = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        gone.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(gone, True)
+
+    def current(self, schema: T.StructType) -> DataFrame | None:
+        """The last version, if there is one."""
+        return self.spark.read.schema(schema).parquet(f"{self.root}/state/v{self._version:09d}") if self._version else None
 
     def save(self, state: DataFrame) -> DataFrame:
         self._version += 1
         path = f"{self.root}/state/v{self._version:09d}"
         state.write.parquet(path)
         if self._version > self.keep:
-            old = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/state/v{self._version - self.keep:09d}")
-            old.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(old, True)
+            self._delete(f"{self.root}/state/v{self._version - self.keep:09d}")
         return self.spark.read.schema(state.schema).parquet(path)
 
     def append(self, events: DataFrame, keys: tuple[str, ...]) -> dict:

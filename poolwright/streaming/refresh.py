@@ -92,6 +92,7 @@ class DeltaSubscription:
         self.members: set[tuple] = set()
         self._queue: dict[tuple, tuple[int, int]] = {}  # id: attempts, tick from which it may be asked for
         self._tick = self._progress = 0
+        self._last = ""
         self._lost = self._settled = 0  # generations of lost events, and up to which a full refresh has made up
         self._seen = len(pool.store)
         self._lock, self._flight, self._cancelled = threading.Lock(), {}, False
@@ -122,6 +123,8 @@ class DeltaSubscription:
         if self._every is not None and self._progress + 1 >= self._every:
             return self.update_full()
         out = self.update()
+        if self._last == DELTA:
+            self._progress += 1  # only the timer's ticks count towards a full one
         return out
 
     def cancel(self) -> None:
@@ -200,10 +203,9 @@ class DeltaSubscription:
         cursors = [r[pool.model.watermark] for r in items if r[pool.model.watermark] is not None]
         seen = [x for x in (self.watermark, result.high_watermark, *cursors) if x is not None]
         self.watermark = max(seen) if seen else None
+        self._last = kind
         if kind == FULL:
             self._settled, self._progress = max(self._settled, generation), 0
-        else:
-            self._progress += 1
         return stats
 
 

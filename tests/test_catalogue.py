@@ -8,7 +8,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from poolwright.plans import catalogue
+from poolwright.plans import catalogue, reads  # noqa: F401 - reads adds its queries
 from tests.conftest import SF
 
 REPO = Path(__file__).resolve().parent.parent

@@ -355,6 +355,36 @@ def test_tables(spark, clock, tmp_path):
     assert [r["_seq"] for r in pool.store.changelog().orderBy("_seq").collect()] == list(range(6))
 
 
+def test_tables_open_again(spark, clock, tmp_path):
+    """At the last version whose events are there; the rest of a broken write goes."""
+    one = Pool(spark, ITEM, clock=clock, store=Tables(spark, str(tmp_path), keep=2))
+    one.insert_many([item(1, "a"), item(2, "b")])
+    one.apply_delta([item(3, "c")], [1])
+    one.store.save(one.residents().limit(0))  # a version without its events
+    two = Pool(spark, ITEM, clock=clock, store=Tables(spark, str(tmp_path), keep=2))
+    assert names(two) == {2: "b", 3: "c"} and len(two.store) == 4
+    sub = two.events()
+    two.insert(item(4, "d"))
+    assert told(sub.poll()) == [("insert", 4, None)] and names(two) == {2: "b", 3: "c", 4: "d"}
+    assert [r["_seq"] for r in two.store.changelog().orderBy("_seq").collect()] == list(range(5))
+    assert two.residents().agg({"_epoch": "max"}).first()[0] > one.residents().agg({"_epoch": "max"}).first()[0]
+
+
+def test_a_reader_keeps_its_version(spark, clock, tmp_path):
+    backend = ParquetBackend(spark, str(tmp_path))
+    put = lambda i: backend.put(ITEM, None, spark.createDataFrame([item(i, "x")], ITEM.schema).selectExpr("*", "cast(null as timestamp) as _expires_at"), clock())
+    put(1)
+    ids = spark.createDataFrame([(i,) for i in range(9)], "id long")
+    held = backend.get(ITEM, None, ids, clock())
+    put(2)
+    assert [r["id"] for r in held.collect()] == [1]
+    for i in range(3, 8):
+        put(i)
+    assert {r["id"] for r in backend.get(ITEM, None, ids, clock()).collect()} == set(range(1, 8))
+    pointers = next(tmp_path.rglob("pointers"))
+    assert len([p for p in pointers.iterdir() if p.name[0] != "."]) == ParquetBackend.KEEP
+
+
 def test_bulk_reads_through(spark, clock):
     backend = MemoryBackend()
     one = make(spark, clock, backend=backend)

@@ -87,6 +87,21 @@ def test_forced_and_periodic_full(spark, clock):
     assert source.queries[-1].since is not None
 
 
+def test_manual_ticks_do_not_count_towards_a_full_one(spark, clock):
+    pool = Pool(spark, MODEL, clock=clock)
+    source = Source(*(DeltaResult([row(i, i)]) for i in range(8)))
+    sub = DeltaSubscription(pool, source, full_every=3)
+    for _ in range(4):
+        sub.update()
+    assert sub.full_progress == 0
+    sub.scheduled()
+    sub.update()
+    sub.scheduled()
+    assert sub.full_progress == 2 and source.queries[-1].since is not None
+    sub.scheduled()
+    assert sub.full_progress == 0 and source.queries[-1].since is None
+
+
 def test_guards(spark, clock):
     plain = Model("P", T.StructType([T.StructField("id", T.LongType())]))
     with pytest.raises(ConfigError):

@@ -75,3 +75,16 @@ def test_empty(spark):
 def test_flat_map_columns(spark):
     s = scope(spark, [(1, 1, 1, "a"), (2, 2, 2, "b")]).flat_map({}, {"score": F.col("score") * 10, "_when": F.col("id") == 2}, {"score": F.lit(0)})
     assert [(r["id"], r["score"]) for r in s.collect()] == [(1, 1), (1, 0), (2, 2), (2, 20), (2, 0)]
+
+
+def test_slices_that_follow_each_other_are_one(spark):
+    rows = spark.range(100).withColumnRenamed("id", "k")
+    scope = Scope(rows, ("k",)).sort_by_key(-F.col("k"))
+    for steps in ([("skip", 5), ("take", 10)], [("take", 30), ("skip", 5), ("take", 10)], [("skip", 2), ("skip", 3), ("take", 20), ("take", 10)], [("take", 3), ("skip", 9)], [("skip", 98)]):
+        s, want = scope, list(range(99, -1, -1))
+        for name, n in steps:
+            s = getattr(s, name)(n)
+            want = want[n:] if name == "skip" else want[:n]
+        assert [r["k"] for r in s.collect()] == want
+    plan = scope.skip(5).take(10).rows()._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrderedAndProject(limit=15, offset=5" in plan
