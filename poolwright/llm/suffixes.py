@@ -11,10 +11,12 @@ of a block a Burrows-Wheeler transform is expanded: breadth-first backward
 extension of intervals sets the common prefixes of neighbouring suffixes in
 the order of their length and stops at LENGTH; suffixes not yet parted then
 agree in LENGTH bytes.  A hash with very many surroundings is dealt to several
-blocks, whose first strings are then compared by hash across them.
+blocks, whose first strings are then compared by hash across them.  One that a
+slice of texts already finds very often is dealt to all tasks from there on.
 """
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from poolwright.llm import textnp
-from poolwright.llm.graph import join_by_key
+from poolwright.llm.graph import HOT, join_by_key
 from poolwright.llm.stage import materialize, same, sieved
 
 LENGTH, SEED = 100, 50
@@ -30,6 +32,9 @@ LENGTH, SEED = 100, 50
 BLOCK_ROWS, BLOCK_BYTES = 2000, 1 << 18
 #: Text bytes whose seeds go to one task of the second step.
 PART_BYTES = 16 << 20
+#: Surroundings of one hash, and more than the share HOT, that make it dense in a
+#: slice of texts: at most so many of each slice go to the hash's own task.
+DENSE = 16
 
 
 def _slide(x: np.ndarray, width: int, least: np.ufunc) -> np.ndarray:
@@ -207,7 +212,7 @@ def _later(docs: DataFrame) -> DataFrame:
     return materialize(join_by_key(stamped, groups, "sha", how="inner").where(~order.eqNullSafe(F.col("first"))).select(*KEY).distinct())
 
 
-ROWS = "known boolean, hash long, around long, id {id}, sub long, start int, stop int"
+ROWS = "known boolean, hot boolean, hash long, around long, id {id}, sub long, start int, stop int"
 
 
 def _shared(x: np.ndarray) -> np.ndarray:
@@ -217,9 +222,21 @@ def _shared(x: np.ndarray) -> np.ndarray:
     return order[np.concatenate([same, [False]]) | np.concatenate([[False], same])] if len(x) > 1 else order[:0]
 
 
-def _seed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _dense(hashed: np.ndarray) -> np.ndarray:
+    """The hashes that are there more than DENSE times, and the share HOT."""
+    limit = max(DENSE, HOT * len(hashed))
+    bucket = (hashed >> np.uint64(44)).astype(np.int64)
+    value, count = np.unique(hashed[np.bincount(bucket)[bucket] > limit], return_counts=True)
+    return value[count > limit]
+
+
+def _seed_rows(parts: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Surroundings to compare; those met before in the slice are known to be
-    repeated and go along under a hash of their own."""
+    repeated and go along under a hash of their own.
+
+    Those of a hash that is dense in the slice are hot: each goes under one of
+    ``parts`` hashes that its surroundings choose, and a row that is both known
+    and hot tells the task of the hash itself that it has not got all."""
     for batch in textnp.slices(batches):
         found = []
         for first, _, data, offsets in textnp.chunks(batch.column(2)):
@@ -232,8 +249,16 @@ def _seed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by = _shared(around)
         by = by[np.lexsort((start[by], ids[text[by]], around[by]))]
         known[by] = _repeated(around[by], ids[text[by]], start[by])
-        hashed = np.where(known, textnp.mix(hashed + text.astype(np.uint64) * np.uint64(textnp.BASE)), hashed)
-        yield pa.RecordBatch.from_arrays([pa.array(known), pa.array(hashed.view(np.int64)), pa.array(around.view(np.int64)), batch.column(0).take(pa.array(text)), batch.column(1).take(pa.array(text)), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32))], ["known", "hash", "around", "id", "sub", "start", "stop"])
+        dense = _dense(hashed[~known])
+        hot = np.isin(hashed, dense) & ~known if len(dense) else np.zeros(len(known), bool)
+        own = np.where(hot, around % np.uint64(parts), text.astype(np.uint64)) * np.uint64(textnp.BASE)
+        names = ["known", "hot", "hash", "around", "id", "sub", "start", "stop"]
+        if len(dense):
+            zero, none = (pa.array(np.zeros(len(dense), t)) for t in (np.int64, np.int32))
+            told = pa.array(np.ones(len(dense), bool))
+            yield pa.RecordBatch.from_arrays([told, told, pa.array(dense.view(np.int64)), zero, pa.nulls(len(dense), batch.schema.field(0).type), zero, none, none], names)
+        hashed = np.where(known | hot, textnp.mix(hashed + own), hashed)
+        yield pa.RecordBatch.from_arrays([pa.array(known), pa.array(hot), pa.array(hashed.view(np.int64)), pa.array(around.view(np.int64)), batch.column(0).take(pa.array(text)), batch.column(1).take(pa.array(text)), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32))], names)
 
 
 def _repeated(group: np.ndarray, ids: np.ndarray, start: np.ndarray) -> np.ndarray:
@@ -248,29 +273,34 @@ def _repeated(group: np.ndarray, ids: np.ndarray, start: np.ndarray) -> np.ndarr
 
 def _sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of all rows of some hashes: known and repeated surroundings (blocks 0)
-    and, where first ones of a hash differ, these with the number of blocks."""
+    and, where first ones of a hash differ, these with the number of blocks.
+    Hot ones may differ from some elsewhere, so they count as two blocks at least."""
     held = [b for b in batches if b.num_rows]
     if not held:
         return
     rows = pa.Table.from_batches(held)
-    known, hashed = rows.column("known").to_numpy(), rows.column("hash").to_numpy()
+    known, hot, hashed = (rows.column(c).to_numpy() for c in ("known", "hot", "hash"))
+    told = known & hot
+    if told.any():
+        hot = hot | (np.isin(hashed, hashed[told]) & ~known)
     pick = np.zeros(len(hashed), bool)
     pick[_shared(hashed)] = True
-    rows = rows.take(pa.array(np.flatnonzero(pick | known))).combine_chunks()
+    taken = np.flatnonzero((pick | known | hot) & ~told)
+    rows, hot = rows.take(pa.array(taken)).combine_chunks(), hot[taken]
     if not rows.num_rows:
         return
     known, hashed, around, start = (rows.column(c).to_numpy() for c in ("known", "hash", "around", "start"))
     ids = _codes(rows)
     by = np.lexsort((start, ids, around, hashed, known))
-    known, hashed, around = known[by], hashed[by], around[by]
+    known, hot, hashed, around = known[by], hot[by], hashed[by], around[by]
     fresh = np.concatenate([[True], hashed[1:] != hashed[:-1]])
     head = fresh | np.concatenate([[True], around[1:] != around[:-1]])
     first = head & ~known
     group = np.cumsum(fresh) - 1
     kinds = np.bincount(group, first)
-    blocks = np.where(first, np.ceil(kinds / BLOCK_ROWS)[group], 0).astype(np.int32)
+    blocks = np.where(first, np.maximum(np.ceil(kinds / BLOCK_ROWS)[group], 1 + hot), 0).astype(np.int32)
     again = known | _repeated(np.cumsum(head), ids[by], start[by])
-    out = np.flatnonzero(again | (first & (kinds[group] > 1)))
+    out = np.flatnonzero(again | (first & (hot | (kinds[group] > 1))))
     taken = rows.take(pa.array(by[out]))
     yield from pa.table({"blocks": pa.array(blocks[out]), "hash": taken.column("hash"), "id": taken.column("id"), "sub": taken.column("sub"), "start": taken.column("start"), "stop": taken.column("stop")}).to_batches(max_chunksize=100_000)
 
@@ -341,7 +371,7 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     clean, may = sieved(docs.where(F.octet_length("text") >= LENGTH), later, KEY)
     texts = clean.union(may.join(later, same(may, later, KEY), "left_anti"))
     parts = max(docs.sparkSession.sparkContext.defaultParallelism, -(-size // PART_BYTES))
-    rows = texts.select(*KEY, "text").mapInArrow(_seed_rows, ROWS.format(id=kind)).repartition(parts, "hash")
+    rows = texts.select(*KEY, "text").mapInArrow(partial(_seed_rows, parts), ROWS.format(id=kind)).repartition(parts, "hash")
     sifted = materialize(rows.mapInArrow(_sift, f"blocks int, hash long, id {kind}, sub long, start int, stop int"))
     spots = materialize(sifted.where("blocks > 0").groupBy(*KEY).agg(F.collect_list(F.struct("hash", "blocks", "start", "stop")).alias("spots")))
     held = sieved(docs, spots, KEY)[1]

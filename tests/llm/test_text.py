@@ -487,6 +487,35 @@ def test_a_passage_in_every_text(spark, monkeypatch):
     assert found_repeats(spark, rows) == wanted_repeats(rows)
 
 
+@pytest.mark.parametrize("dense", [0, 2, 16])
+def test_a_passage_that_some_slices_hold_densely(spark, monkeypatch, dense):
+    """Many tasks: in some a seed has many surroundings, in others a single one,
+    the same as elsewhere or another."""
+    monkeypatch.setattr(suffixes, "DENSE", dense)
+    monkeypatch.setattr(suffixes, "HOT", 0.0)
+    monkeypatch.setattr(suffixes, "PART_BYTES", 2000)
+    rnd = random.Random(dense)
+    noise = lambda n: "".join(rnd.choice("abcdefghij ") for _ in range(n))
+    passage, tails = noise(140), [noise(30) for _ in range(12)]
+    rows = []
+    for i in range(160):
+        near = rnd.choice(tails) if rnd.random() < 0.5 else noise(30)
+        rows.append((i, noise(20) + (near + passage[: rnd.randint(90, 140)] + rnd.choice(tails) if i < 60 or i % 20 == 0 else noise(150))))
+    rows += [(None, rows[3][1]), (4, rows[5][1] + "x"), rows[7], rows[7]]
+    assert found_repeats(spark, rows) == wanted_repeats(rows)
+
+
+def test_no_task_gets_a_dense_hash_whole():
+    rnd = np.random.RandomState(3)
+    tail = lambda: bytes(rnd.randint(97, 123, 60, np.uint8)).decode()
+    passage = tail() + tail()
+    texts = [tail() + passage + tail() for _ in range(1500)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1500)), pa.array(range(1500)), pa.array(texts)], ["id", "sub", "text"])
+    out = pa.Table.from_batches(list(suffixes._seed_rows(50, iter([batch])))).to_pandas()
+    most = out[~out.known].groupby("hash").size().max()
+    assert out.hot.any() and most < max(suffixes.DENSE, suffixes.HOT * len(out)) * 2 + 100
+
+
 def test_expansion_parts_as_sorting_does():
     rnd = random.Random(8)
     for _ in range(60):
