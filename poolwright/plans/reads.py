@@ -196,10 +196,9 @@ def delta_subscription_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def fetch(asked):
         seen = rows.where(F.col("c_custkey") <= top // 2) if next(turn) == 1 else rows
-        seen = seen if asked.since is None else seen.where(F.col("c_custkey") >= asked.since)
-        return DeltaResult([r.asDict() for r in seen.collect()])
+        return DeltaResult(m.since(seen, "c_custkey", asked.since))
 
-    pool = Pool(spark, CUSTOMER, Config(lru_size=100_000_000), clock=_clock)
+    pool = Pool(spark, CUSTOMER, Config(lru_size=100_000_000), clock=_clock, store=Tables(spark, shared_folder(spark, "pool")))
     sub, out = DeltaSubscription(pool, fetch), []
     for i, tick in enumerate((sub.update, sub.update, sub.update_full)):
         told = tick()

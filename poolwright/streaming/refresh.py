@@ -15,8 +15,10 @@ from typing import Any
 from pyspark.sql import DataFrame, functions as F
 
 from poolwright.errors import ConfigError, FetcherFailed
-from poolwright.operators.merge import LRU_EVICT, max_cursor
+from poolwright.operators.merge import max_cursor
 from poolwright.operators.pool import Pool
+from poolwright.sources.versions import Tables
+from poolwright.streaming.members import Filed, Listed
 
 log = logging.getLogger(__name__)
 
@@ -26,16 +28,22 @@ DELTA, FULL = "delta", "full"
 @dataclass
 class DeltaQuery:
     """What a tick asks for: rows with a cursor of at least ``since`` (all, if
-    None) and the rows of ``recover_ids``."""
+    None) and the rows of ``recover_ids``.  These are a list or, where there are
+    some and the pool is kept as tables, a DataFrame of the key columns that can
+    be read until the tick ends."""
 
     since: Any = None
-    recover_ids: list = field(default_factory=list)
+    recover_ids: list | DataFrame = field(default_factory=list)
 
 
 @dataclass
 class DeltaResult:
-    items: list = field(default_factory=list)
-    tombstones: list = field(default_factory=list)
+    """Rows and removed ids, as lists or as DataFrames; of repeated ids the last
+    row counts.  With DataFrames and a pool kept as tables no row passes through
+    the driver."""
+
+    items: list | DataFrame = field(default_factory=list)
+    tombstones: list | DataFrame = field(default_factory=list)
     high_watermark: Any = None
 
 
@@ -89,8 +97,7 @@ class DeltaSubscription:
             raise ConfigError("full_every is at least 1")
         self._pool, self._fetch, self._recover, self._every = pool, fetch, recover, full_every
         self.watermark: Any = None
-        self.members: set[tuple] = set()
-        self._queue: dict[tuple, tuple[int, int]] = {}  # id: attempts, tick from which it may be asked for
+        self._known = Filed(pool) if isinstance(pool.store, Tables) else Listed(pool)
         self._tick = self._progress = 0
         self._last = ""
         self._lost = self._settled = 0  # generations of lost events, and up to which a full refresh has made up
@@ -98,9 +105,15 @@ class DeltaSubscription:
         self._lock, self._flight, self._cancelled = threading.Lock(), {}, False
         self._running = threading.RLock()
 
+    @property
+    def members(self) -> set[tuple] | DataFrame:
+        """The ids that the subscription brought in; of a pool kept as tables a
+        DataFrame, to be read before the next tick."""
+        return self._known.members
+
     @property
     def pending_recovery(self) -> int:
-        return len(self._queue)
+        return self._known.pending
 
     @property
     def full_progress(self) -> int:
@@ -163,48 +176,38 @@ class DeltaSubscription:
         return future.result()
 
     def _due(self) -> bool:
-        return self._recover and (self._lost > self._settled or len(self._queue) > self._pool.config.lru_size)
+        return self._recover and (self._lost > self._settled or self._known.pending > self._pool.config.lru_size)
 
     def _observe(self) -> None:
         """Queue members that were evicted since the last look."""
-        store, keys = self._pool.store, self._pool.model.keys
-        end = len(store)
-        for e in store.events(self._seen, end):
-            id = tuple(e[k] for k in keys)
-            if self._recover and e["reason"] == LRU_EVICT and id in self.members:
-                self._queue.setdefault(id, (0, 0))
+        end = len(self._pool.store)
+        if self._recover:
+            self._known.observe(self._seen, end)
         self._seen = end
 
     def _run(self, kind: str) -> dict:
-        pool = self._pool
+        pool, known, full = self._pool, self._known, kind == FULL
         self._tick += 1
         self._observe()
         generation = self._lost
-        asked = dict(self._queue) if kind == FULL else {i: x for i, x in self._queue.items() if x[1] <= self._tick}
-        for i in asked:
-            del self._queue[i]
-        before = (set(self.members), dict(self._queue))
-        one = lambda i: i if len(i) > 1 else i[0]
-        query = DeltaQuery(None if kind == FULL else self.watermark, [] if kind == FULL else [one(i) for i in asked])
+        asked = known.take(None if full else self._tick)
+        before = known.mark()
+        query = DeltaQuery(None if full else self.watermark, [] if full else known.ids(asked))
         try:
-            result = self._fetch(query)
-            items = list(result.items)
-            key = lambda r: tuple(r[k] for k in pool.model.keys)
-            got, dead = {key(r) for r in items}, {pool._id(i) for i in result.tombstones}
+            batch = known.stage(self._fetch(query), self.watermark)
             # Members before the write, so that its evictions are recognised.
-            self.members = (got - dead) if kind == FULL else (self.members | got) - dead - (set(asked) - got)
-            stats = pool.apply_delta(items, result.tombstones, recovered=query.recover_ids if asked and kind == DELTA else None)
+            known.adopt(batch, asked, full=full)
+            stats = pool.apply_delta(batch.items, batch.dead, seq=batch.seq, recovered=query.recover_ids if asked and not full else None)
         except BaseException as e:
-            self.members, self._queue = before
-            for i, (attempts, _) in asked.items():
-                self._queue[i] = (attempts + 1, self._tick + 2 ** min(attempts, 6))
+            known.undo(before, asked, self._tick)
             raise FetcherFailed(str(e)) from e if isinstance(e, Exception) else e
+        finally:
+            known.clear()
         self._observe()
-        cursors = [r[pool.model.watermark] for r in items if r[pool.model.watermark] is not None]
-        seen = [x for x in (self.watermark, result.high_watermark, *cursors) if x is not None]
-        self.watermark = max(seen) if seen else None
+        known.keep(before, asked)
+        self.watermark = batch.cursor
         self._last = kind
-        if kind == FULL:
+        if full:
             self._settled, self._progress = max(self._settled, generation), 0
         return stats
 

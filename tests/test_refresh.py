@@ -3,12 +3,16 @@
 import time
 
 import pytest
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import types as T
 
 from poolwright.errors import ConfigError, FetcherFailed
 from poolwright.operators.pool import Config, Pool
+from poolwright.plans import reads
 from poolwright.schema import Model
+from poolwright.sources.versions import Tables
 from poolwright.streaming.refresh import DeltaResult, DeltaSubscription, PeriodicRefresh, stream_into
+from tests.conftest import SF
 
 MODEL = Model("Item", T.StructType([T.StructField("id", T.LongType()), T.StructField("at", T.LongType()), T.StructField("value", T.StringType())]), watermark="at")
 
@@ -73,6 +77,80 @@ def test_recovery(spark, clock):
     assert [q.recover_ids for q in source.queries].count([1]) == 2 and values(pool) in ({1: "v"}, {2: "v"})
 
 
+@pytest.mark.parametrize("frames", [False, True])
+@pytest.mark.parametrize("tables", [False, True])
+def test_all_forms_of_rows_and_pools_tick_alike(spark, clock, tmp_path, tables, frames):
+    """Cursor, members, queue and waits do not depend on where rows are kept
+    and in what form they come; of repeated ids the last row counts."""
+    ticks = [
+        DeltaResult([row(1, 10), row(2, 11, "first"), row(2, 9, "last")], [7]),
+        DeltaResult([row(3, 12), row(4, None)]),
+        RuntimeError("down"),
+        RuntimeError("down"),
+        DeltaResult(high_watermark=20),
+        DeltaResult([row(2, 9, "back")], [1, 4]),
+        DeltaResult([row(5, 13), row(6, 14), row(8, 15)], [6]),
+        DeltaResult([row(9, 1)]),
+    ]
+    asked = []
+
+    def given(rows, schema):
+        return spark.createDataFrame(rows, schema) if frames else rows
+
+    def fetch(query):
+        ids = query.recover_ids
+        asked.append((query.since, sorted(r["id"] for r in ids.collect()) if isinstance(ids, DataFrame) else sorted(ids)))
+        out = ticks.pop(0)
+        if isinstance(out, Exception):
+            if not frames:
+                raise out
+            return DeltaResult(given([row(50, 500)], MODEL.schema).withColumn("at", F.raise_error("down").cast("long")))  # fails as it is read
+        return DeltaResult(given(out.items, MODEL.schema), given([(i,) for i in out.tombstones], "id long") if frames else out.tombstones, out.high_watermark)
+
+    pool = Pool(spark, MODEL, Config(lru_size=2), clock=clock, store=Tables(spark, f"{tmp_path}/pool") if tables else None)
+    sub, seen = DeltaSubscription(pool, fetch), []
+    while ticks:
+        clock.step(1)
+        try:
+            done = sub.update_full() if len(ticks) == 1 else sub.update()
+        except FetcherFailed:
+            done = None
+        members = {tuple(r) for r in sub.members.collect()} if tables else sub.members
+        seen.append((done and done["lru_evictions"], sub.watermark, sub.pending_recovery, members, values(pool)))
+    assert asked == [(None, []), (11, []), (12, [1, 2]), (12, [1, 2]), (12, []), (20, [1, 2]), (20, []), (None, [])]
+    assert seen == [
+        (0, 11, 0, {(1,), (2,)}, {1: "v", 2: "last"}),
+        (2, 12, 2, {(1,), (2,), (3,), (4,)}, {3: "v", 4: "v"}),
+        (None, 12, 2, {(1,), (2,), (3,), (4,)}, {3: "v", 4: "v"}),
+        (None, 12, 2, {(1,), (2,), (3,), (4,)}, {3: "v", 4: "v"}),
+        (0, 20, 2, {(1,), (2,), (3,), (4,)}, {3: "v", 4: "v"}),
+        (0, 20, 0, {(2,), (3,)}, {2: "back", 3: "v"}),
+        (2, 20, 2, {(2,), (3,), (5,), (8,)}, {5: "v", 8: "v"}),
+        (1, 20, 0, {(9,)}, {5: "v", 9: "v"}),
+    ]
+    if tables:  # fetched rows and what is out of date are gone
+        assert len(list((tmp_path / "pool/subscriptions").glob("*/*"))) == 1
+
+
+def test_a_source_of_any_size_ticks_without_rows_in_the_driver(spark, monkeypatch):
+    most, plain = [0], (type(spark.range(0)).collect, spark.createDataFrame)
+
+    def collect(self):
+        out = plain[0](self)
+        most.append(len(out))
+        return out
+
+    def create(data, *a, **more):
+        most.append(len(data) if hasattr(data, "__len__") else 0)
+        return plain[1](data, *a, **more)
+
+    monkeypatch.setattr(type(spark.range(0)), "collect", collect)
+    monkeypatch.setattr(spark, "createDataFrame", create)
+    got = reads.delta_subscription_ticks(spark, SF)
+    assert len(most) > 1 and max(most) <= 10
+    assert got.count() == 3 and got.agg(F.max("resident")).first()[0] > 100
+
+
 def test_forced_and_periodic_full(spark, clock):
     pool = Pool(spark, MODEL, clock=clock)
     source = Source(*(DeltaResult([row(1, i)]) for i in range(1, 8)))
